@@ -1,0 +1 @@
+"""Column functions: predicates, text and geo."""

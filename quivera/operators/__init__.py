@@ -1,0 +1 @@
+"""Operators over whole graphs: graph computing and changes."""

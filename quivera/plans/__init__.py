@@ -1,0 +1 @@
+"""The graph model, its schema, and the planners of traversals and native queries."""

@@ -1,0 +1 @@
+"""The change log."""
