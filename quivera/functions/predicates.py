@@ -154,8 +154,8 @@ def _contains(query: str):
     wanted = query_tokens(query)
     if not wanted:
         return _text("textContains", lambda c: F.lit(query == ""))
-    have = F.array(*[F.lit(t) for t in dict.fromkeys(wanted)])
-    return _text("textContains", lambda c: F.size(F.array_except(have, tokens(c))) == 0)
+    have = lambda: F.array(*[F.lit(t) for t in dict.fromkeys(wanted)])
+    return _text("textContains", lambda c: F.size(F.array_except(have(), tokens(c))) == 0)
 
 
 def _contains_phrase(query: str):
