@@ -39,9 +39,9 @@ ZERO_BUCKET = -100_000
 #: Rule: (measure as a SQL expression, sides fenced, least distance of a fence from its quartile).
 RULES = {
     "symbols": ("n_symbols / n_words", "high", 0.3),
-    "dup_lines": ("n_dup_lines / n_lines", "high", 0.2),
-    "repeats": ("n_repeat_words / n_words", "high", 0.1),
-    "word_length": ("word_chars / n_words", "both", 2.5),
+    "dup_lines": ("n_dup_lines / n_lines", "high", 0.5),
+    "repeats": ("n_repeat_words / n_words", "high", 0.2),
+    "word_length": ("word_chars / n_words", "both", 4.0),
 }
 #: Width of a fence in interquartile ranges, and the least rows of a group with a sketch of its own.
 FENCE = 5.0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import html_text, line_dedup, media, mixing, pieces, quality_rules, rule_ensemble, sharding, simhash, toxicity
 from .common import write_table
+from .oracles import ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,4 +90,4 @@ QUERIES = {
     "op10_histogram_sharding": op10_histogram_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
