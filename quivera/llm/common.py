@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 #: The six ASCII white-space bytes that end a word (a word is ``[^\x20\x09-\x0D]+``).
 WORD_BREAKS = b" \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Columns that operators add for themselves begin with this; input columns must not.
+OWN = "__q_"
+TEXT = f"{OWN}text"
 
 _PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _own_root: dict[str, str] = {}
@@ -77,7 +80,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_t")).cast(pa.binary())
+            texts = batch.column(batch.schema.get_field_index(TEXT)).cast(pa.binary())
             start, size = 0, 0
             for end in range(1, batch.num_rows + 1):
                 value = texts[end - 1]
@@ -93,7 +96,7 @@ def map_texts(
                 )
                 start, size = end, 0
 
-    source = df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").cast("string").alias("_t"))
+    source = df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").cast("string").alias(TEXT))
     return source.mapInArrow(run, schema)
 
 

@@ -168,13 +168,13 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count_into: str | None = None) -> DataFrame:
     """``docs`` without the lines of recurring templates; ``count_into``: a column for the number dropped."""
     found = recurring_lines(docs, doc_id, text).distinct()
-    per_doc = write_table(found.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("_lines")), "lines-per-document")
-    per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_lines")
-    joined = docs.join(per_doc, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_hash")), "left")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, k: ~F.array_contains("_lines", k)), "\n")
-    joined = joined.withColumn("_left", F.when(F.col("_lines").isNotNull(), left))
-    loses = F.length("_left") >= (1 - MAX_LOSS) * F.length(text)
+    per_doc = write_table(found.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("__q_lines")), "lines-per-document")
+    per_doc = per_doc.select(F.col("doc_id").alias("__q_id"), F.col("text_hash").alias("__q_hash"), "__q_lines")
+    joined = docs.join(per_doc, F.col(doc_id).eqNullSafe(F.col("__q_id")) & (F.xxhash64(F.col(text)) == F.col("__q_hash")), "left")
+    left = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, k: ~F.array_contains("__q_lines", k)), "\n")
+    joined = joined.withColumn("__q_left", F.when(F.col("__q_lines").isNotNull(), left))
+    loses = F.length("__q_left") >= (1 - MAX_LOSS) * F.length(text)
     out = joined
     if count_into:
-        out = out.withColumn(count_into, F.when(loses, F.size("_lines")).otherwise(0))
-    return out.withColumn(text, F.when(loses, F.col("_left")).otherwise(F.col(text))).drop("_id", "_hash", "_lines", "_left")
+        out = out.withColumn(count_into, F.when(loses, F.size("__q_lines")).otherwise(0))
+    return out.withColumn(text, F.when(loses, F.col("__q_left")).otherwise(F.col(text))).drop("__q_id", "__q_hash", "__q_lines", "__q_left")

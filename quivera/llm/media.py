@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ensure_importable, shared_path, write_table
+from .common import TEXT, ensure_importable, shared_path, write_table
 
 #: Samples in an image row, the padding byte, the PNG signature.
 WIDTH = 192
@@ -170,7 +170,7 @@ def store_media(docs: DataFrame, text: str = "text", store: str | None = None, k
         writer = ShardWriter(store, task.partitionId(), task.taskAttemptId())
         for batch in batches:
             rows = []
-            for value in batch.column(batch.schema.get_field_index("_t")).cast(pa.binary()):
+            for value in batch.column(batch.schema.get_field_index(TEXT)).cast(pa.binary()):
                 body = value.as_py() or b""
                 payload = to_payload(body)
                 rows.append((len(body), *writer.add(hashlib.sha256(payload).digest(), lambda p=payload: to_png(p))))
@@ -179,7 +179,7 @@ def store_media(docs: DataFrame, text: str = "text", store: str | None = None, k
             yield pa.RecordBatch.from_arrays(columns + [pa.array(v, k) for v, k in zip(made, kinds)], names=[*names, *ADDRESS])
         writer.close()
 
-    source = docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").cast("string").alias("_t"))
+    source = docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").cast("string").alias(TEXT))
     return write_table(source.mapInArrow(run, schema), "media-rows"), store
 
 

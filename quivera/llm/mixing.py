@@ -61,9 +61,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def _joined(big: DataFrame, per_source: DataFrame, n_sources: int) -> DataFrame:
-    small = per_source.withColumnRenamed("source", "_source")
+    small = per_source.withColumnRenamed("source", "__q_source")
     small = F.broadcast(small) if n_sources <= BROADCAST_SOURCES else small
-    return big.join(small, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    return big.join(small, F.col("source").eqNullSafe(F.col("__q_source"))).drop("__q_source")
 
 
 def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -131,12 +131,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     sizes = write_table(sized(docs), "mix-sizes")
     goal = mix(sizes)
     per_source = write_table(
-        goal.groupBy("source").agg(F.min("times").alias("least"), F.max("times").alias("most"), F.max(F.when(F.col("times") == 2, F.col("h"))).alias("h2"), F.max(F.when(F.col("times") == 1, F.col("h"))).alias("h1")),
+        goal.groupBy("source").agg(F.min("times").alias("__q_least"), F.max(F.when(F.col("times") == 2, F.col("h"))).alias("__q_h2"), F.max(F.when(F.col("times") == 1, F.col("h"))).alias("__q_h1")),
         "mix-sources",
-    ).withColumnRenamed("source", "_source")
+    ).withColumnRenamed("source", "__q_source")
     columns = docs.columns
     per_source = F.broadcast(per_source) if per_source.count() <= BROADCAST_SOURCES else per_source
     h = hash60(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    times = F.when(h <= F.coalesce("h2", F.lit(-1)), 2).when(h <= F.coalesce("h1", F.lit(-1)), 1).otherwise(F.col("least"))
-    joined = docs.join(per_source, F.col("source").eqNullSafe(F.col("_source")))
-    return joined.select(*columns, F.explode(F.expr("sequence(1, 2)")).alias("_copy"), times.alias("_times")).where("_copy <= _times").select(*columns)
+    times = F.when(h <= F.coalesce("__q_h2", F.lit(-1)), 2).when(h <= F.coalesce("__q_h1", F.lit(-1)), 1).otherwise(F.col("__q_least"))
+    joined = docs.join(per_source, F.col("source").eqNullSafe(F.col("__q_source")))
+    return joined.select(*columns, F.explode(F.expr("sequence(1, 2)")).alias("__q_copy"), times.alias("__q_times")).where("__q_copy <= __q_times").select(*columns)

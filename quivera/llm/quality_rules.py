@@ -38,10 +38,10 @@ ZERO_BUCKET = -100_000
 
 #: Rule: (measure as a SQL expression, sides fenced, least distance of a fence from its quartile).
 RULES = {
-    "symbols": ("n_symbols / n_words", "high", 0.3),
-    "dup_lines": ("n_dup_lines / n_lines", "high", 0.5),
-    "repeats": ("n_repeat_words / n_words", "high", 0.2),
-    "word_length": ("word_chars / n_words", "both", 4.0),
+    "symbols": ("try_divide(n_symbols, n_words)", "high", 0.3),
+    "dup_lines": ("try_divide(n_dup_lines, n_lines)", "high", 0.5),
+    "repeats": ("try_divide(n_repeat_words, n_words)", "high", 0.2),
+    "word_length": ("try_divide(word_chars, n_words)", "both", 4.0),
 }
 #: Width of a fence in interquartile ranges, and the least rows of a group with a sketch of its own.
 FENCE = 5.0
@@ -165,10 +165,10 @@ def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: st
     ``limits`` should be a written table: it is counted once, and broadcast only up to ``BROADCAST_GROUPS`` rows.
     """
     fences = [f"{r}_{side}" for r in RULES for side in ("low", "high")]
-    small = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[F.col(f).alias(f"_{f}") for f in fences])
+    small = limits.select(F.col("lang").alias("__q_lang"), F.col("source").alias("__q_source"), *[F.col(f).alias(f"__q_{f}") for f in fences])
     if limits.count() <= BROADCAST_GROUPS:
         small = F.broadcast(small)
-    on = F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source"))
-    inside = " and ".join(f"{e} between _{r}_low and _{r}_high" for r, (e, _, _) in RULES.items())
+    on = F.col(lang).eqNullSafe(F.col("__q_lang")) & F.col(source).eqNullSafe(F.col("__q_source"))
+    inside = " and ".join(f"{e} between __q_{r}_low and __q_{r}_high" for r, (e, _, _) in RULES.items())
     verdict = F.expr(f"not base_failed and coalesce({inside}, false)")
-    return measured.join(small, on, "left").withColumn("kept", verdict).drop("_lang", "_source", *[f"_{f}" for f in fences])
+    return measured.join(small, on, "left").withColumn("kept", verdict).drop("__q_lang", "__q_source", *[f"__q_{f}" for f in fences])
