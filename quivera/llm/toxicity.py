@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ensure_importable, map_texts
+from .common import ensure_importable, map_texts, write_table
 from .rule_ensemble import labelled_sample
 
 #: Bounds of the fit: labelled rows of a class, and n-grams with a weight.
@@ -136,7 +136,7 @@ def _logistic(starts: np.ndarray, columns: np.ndarray, scale: np.ndarray, y: np.
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_CLASS_ROWS) -> Classifier:
     """Fit on at most ``max_rows`` labelled documents of each class; counts and kept features reach the driver."""
     picked = F.broadcast(labelled_sample(labels, label, max_rows, per_class=True))  # bounded by 2 * max_rows
-    sample = docs.select("doc_id", "text").join(picked, "doc_id")
+    sample = write_table(docs.select("doc_id", "text").join(picked, "doc_id"), "toxicity-sample")  # read three times below
     sizes = {int(r["label"]): r["count"] for r in sample.groupBy("label").count().collect()}
     others, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not others or not toxic:
