@@ -29,14 +29,15 @@ TYPES: dict[str, T.DataType] = {
         [T.StructField("type", T.StringType()), T.StructField("coords", T.ArrayType(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]))), T.StructField("radius_km", T.DoubleType())]
     ),
 }
+#: Cardinalities of keys and multiplicities of edge labels.
 CARDINALITIES = ("SINGLE", "LIST", "SET")
 MULTIPLICITIES = ("MULTI", "SIMPLE", "MANY2ONE", "ONE2MANY", "ONE2ONE")
-#: Index action -> (states it may start from, state it leads to).
+#: Index action -> (states it may start from, state it leads to).
 ACTIONS = {
     "REGISTER_INDEX": (("INSTALLED",), "REGISTERED"),
     "REINDEX": (("REGISTERED", "ENABLED", "DISABLED"), "ENABLED"),
     "ENABLE_INDEX": (("REGISTERED", "DISABLED", "ENABLED"), "ENABLED"),
-    "DISABLE_INDEX": (("ENABLED", "REGISTERED", "DISABLED", "INSTALLED"), "DISABLED"),
+    "DISABLE_INDEX": (("ENABLED", "REGISTERED", "DISABLED"), "DISABLED"),
     "DISCARD_INDEX": (("DISABLED", "DISCARDED", "REGISTERED"), "DISCARDED"),
     "MARK_DISCARDED": (("DISABLED", "DISCARDED", "REGISTERED"), "DISCARDED"),
     "DROP_INDEX": (("DISCARDED",), "DROPPED"),

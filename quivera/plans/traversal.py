@@ -56,7 +56,7 @@ class GraphTraversalSource:
         df = self.graph.vertices()
         df = df.where(F.col("id").isin(list(ids))) if ids else df
         df = df.withColumnsRenamed({"id": "_id", "label": "_label"}).withColumn("_path", F.array(F.col("_id").cast("string")))
-        return Traversal(self.graph, df, "vertex", tuple(self.graph.vertex_tables), True)
+        return Traversal(self.graph, df, "vertex", tuple(self.graph.vertex_tables), True, unique=True)
 
     def E(self, *ids) -> "Traversal":
         df = self.graph.edges()
@@ -68,6 +68,28 @@ class GraphTraversalSource:
         df = self.graph.spark.createDataFrame([(v,) for v in values], ["_value"]).withColumn("_path", F.array(F.col("_value").cast("string")))
         return Traversal(self.graph, df, "value", (), True)
 
+    def addV(self, label: str, rows: DataFrame) -> Graph:
+        """The graph with the rows (id, properties) as vertices of a label."""
+        from ..operators.mutations import add_vertices
+
+        return add_vertices(self.graph, label, rows)
+
+    def addE(self, label: str, rows: DataFrame) -> Graph:
+        """The graph with the rows (src, dst, properties) as edges of a label, under its multiplicity."""
+        from ..operators.mutations import add_edges
+
+        return add_edges(self.graph, label, rows)
+
+    def mergeV(self, label: str, rows: DataFrame, on: list[str]) -> Graph:
+        from ..operators.mutations import merge_vertices
+
+        return merge_vertices(self.graph, label, rows, on)
+
+    def mergeE(self, label: str, rows: DataFrame) -> Graph:
+        from ..operators.mutations import merge_edges
+
+        return merge_edges(self.graph, label, rows)
+
     def withComputer(self) -> "GraphTraversalSource":
         """Plans are always distributed."""
         return self
@@ -79,14 +101,16 @@ class GraphTraversalSource:
 
 
 class Traversal:
-    def __init__(self, graph: Graph, df: DataFrame, kind: str, labels: tuple[str, ...] | None, loaded: bool, scope: tuple[str, ...] = (), order: tuple = (), starts: DataFrame | None = None, side: dict | None = None):
+    def __init__(self, graph: Graph, df: DataFrame, kind: str, labels: tuple[str, ...] | None, loaded: bool, scope: tuple[str, ...] = (), order: tuple = (), starts: DataFrame | None = None, side: dict | None = None, unique: bool = False):
         self.graph, self.df, self.kind, self.labels, self.loaded = graph, df, kind, labels, loaded
         self.scope, self._order, self._starts, self.side = scope, order, starts, side if side is not None else {}
+        #: Whether no element comes twice: true of a start, and kept by steps that only filter.
+        self.unique = unique
 
     # ---- state -------------------------------------------------------------------------------------------
 
     def _new(self, df: DataFrame | None = None, **changed) -> "Traversal":
-        now = {"kind": self.kind, "labels": self.labels, "loaded": self.loaded, "scope": self.scope, "order": (), "starts": self._starts, "side": self.side} | changed
+        now = {"kind": self.kind, "labels": self.labels, "loaded": self.loaded, "scope": self.scope, "order": (), "starts": self._starts, "side": self.side, "unique": self.unique and "kind" not in changed} | changed
         return Traversal(self.graph, self.df if df is None else df, **now)
 
     @property
@@ -137,7 +161,7 @@ class Traversal:
         """A self-loop comes twice."""
         a, b = self._hop(labels, True), self._hop(labels, False)
         known = a.labels is not None and b.labels is not None
-        return a._new(a.df.unionByName(b.df), labels=tuple(dict.fromkeys(a.labels + b.labels)) if known else None)
+        return a._new(a.df.unionByName(b.df), unique=False, labels=tuple(dict.fromkeys(a.labels + b.labels)) if known else None)
 
     def _edges_at(self, labels: tuple[str, ...], out: bool) -> DataFrame:
         edges = self.graph.edges(labels).withColumnsRenamed({"id": "_edge", "label": "_label", "src": "_src", "dst": "_dst"})
@@ -226,9 +250,10 @@ class Traversal:
         keys = self._keys()
         named = [f"_k{len(self.scope)}_{i}" for i in range(len(keys))]
         extra = [] if self.kind == "vertex" and not self.loaded else [c for c in self.df.columns if c not in keys and (c == "_label" or not c.startswith("_"))]
-        starts = self.df.select(*keys, *extra).dropDuplicates(keys)
+        starts = self.df.select(*keys, *extra)
+        starts = starts if self.unique and keys == ["_id"] else starts.dropDuplicates(keys)
         starts = starts.select("*", *[F.col(k).alias(n) for k, n in zip(keys, named)]).withColumn("_path", F.array(F.col(self._current).cast("string")))
-        begun = Traversal(self.graph, starts, self.kind, self.labels, self.loaded, (*[c for c in self.scope if c in keys], *named), (), starts.select(*named), self.side)
+        begun = Traversal(self.graph, starts, self.kind, self.labels, self.loaded, (*[c for c in self.scope if c in keys], *named), (), starts.select(*named), self.side, True)
         return (sub.apply(begun) if isinstance(sub, Anonymous) else sub(begun)), named
 
     def _match(self, df: DataFrame, named: list[str], how: str) -> DataFrame:
@@ -543,9 +568,9 @@ class Traversal:
             parts = [p._load() for p in parts] if any(p.loaded for p in parts) else parts
             labels = None if any(p.labels is None for p in parts) else tuple(dict.fromkeys(x for p in parts for x in p.labels))
             df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.df for p in parts])
-            return parts[0]._new(df, labels=labels)
+            return parts[0]._new(df, labels=labels, unique=False)
         if len(kinds) == 1:
-            return parts[0]._new(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.df for p in parts]))
+            return parts[0]._new(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.df for p in parts]), unique=False)
         values = [p.df.select(*[c for c in p.carried if c in parts[0].carried], F.col(p._current).cast("string").alias("_value")) for p in parts]
         return parts[0]._new(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), values), kind="value", labels=(), loaded=True)
 
@@ -592,7 +617,7 @@ class Traversal:
         mine = self.df.select(*[F.col(k).alias(f"_m{n}") for k, n in zip(keys, named)], *kept)
         on = reduce(lambda a, b: a & b, [F.col(f"_m{n}").eqNullSafe(F.col(n)) for n in named])
         df = mine.join(found.df, on).select(*kept, *[c for c in found.df.columns if c not in named])
-        return found._new(df, scope=self.scope, starts=self._starts)
+        return found._new(df, scope=self.scope, starts=self._starts, unique=False)
 
     def repeat(self, sub, times: int | None = None, until=None, emit: bool | Anonymous | P | None = None, max_loops: int = MAX_LOOPS, checkpoint: Callable[[DataFrame], DataFrame] | None = None) -> "Traversal":
         """do-while: the body, then ``until`` takes traversers out; ``emit`` also gives those that go on.

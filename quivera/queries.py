@@ -719,3 +719,49 @@ def raw_index_query(g):
 @_query(f"select count(*) as total from documents where list_contains({_TOKENS}, 'license') and not list_contains({_TOKENS}, 'apache')")
 def raw_index_totals(g):
     return IndexQuery(_sub(g, ["document"], []), "+text:license -text:apache").vertexTotals()
+
+
+@_query("select count(*) as vertices, (select count(*) from nation where n_nationkey < 5) + 5 as edges from (select r_regionkey from region union all select 100 + r_regionkey from region)")
+def add_elements(g):
+    r = g.vertex_tables["region"]
+    s = Graph({"region": r}, {"in_region": g.edge_tables["in_region"].where(F.col("src") < 5 * 16).select("src", "dst")}, g.ends)
+    more = r.select((F.col("id") + 1600).alias("id"), (F.col("r_regionkey") + 100).alias("r_regionkey"), "r_name")
+    grown = s.traversal().addV("region", more.unionByName(r)).traversal()
+    grown = grown.graph.with_vertices("nation", g.vertex_tables["nation"])
+    grown = grown.traversal().addE("in_region", r.select((F.col("id") + 1600).alias("src"), F.col("id").alias("dst")).unionByName(r.select(F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst"))))
+    return grown.vertices(("region",)).agg(F.count("*").alias("vertices")).join(grown.edges().agg(F.count("*").alias("edges")))
+
+
+@_query("select count(*) as n from (select distinct src, dst from (select n_nationkey as src, n_regionkey as dst from nation union all select n_nationkey, 0 from nation))")
+def merge_edges(g):
+    s = Graph({}, {"in_region": g.edge_tables["in_region"].select("src", "dst")})
+    merged = s.traversal().mergeE("in_region", g.vertex_tables["nation"].select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst")))
+    return merged.edges().agg(F.count("*").alias("n"))
+
+
+@_query("select o_orderkey, o_custkey * 16 + 2 as out_vertex, o_orderkey * 16 + 5 as in_vertex from orders where o_orderkey < 500")
+def relation_ids(g):
+    from .functions.values import parse_relation_id, relation_id
+
+    e = g.edge_tables["placed"].where(F.col("dst") < 500 * 16 + 5)
+    text = e.select(relation_id(((F.col("dst") - 5) / 16).cast("long"), F.col("src"), F.lit(7), F.col("dst")).alias("r"))
+    p = text.select(parse_relation_id(F.col("r")).alias("p"))
+    return p.select(F.col("p.relation").alias("o_orderkey"), "p.out_vertex", "p.in_vertex")
+
+
+@_query("select c_custkey from customer where c_nationkey = 3 or c_acctbal > 9000 order by c_acctbal desc, c_custkey limit 10 offset 5")
+def or_distinct_range(g):
+    """OR branches are one scan: an element that several branches accept comes once, then order and range."""
+    s = _sub(g, ["customer"], [])
+    q = GraphQuery(s).or_(GraphQuery(s).has("c_nationkey", 3), GraphQuery(s).has("c_acctbal", P.gt, 9000.0)).orderBy("c_acctbal", "desc").orderBy("c_custkey")
+    return q.vertices().offset(5).limit(10).select("c_custkey")
+
+
+@_query("select cast(c_nationkey as bigint) as v, count(*) as n from customer group by 1")
+def coerced_values(g):
+    from .functions.values import coerce
+    from .plans.schema import PropertyKey
+
+    v = _V(g, "customer").values("c_nationkey", "c_name")
+    number = coerce(F.col("_value"), PropertyKey("x", "Long"))
+    return v.df.select(number.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
