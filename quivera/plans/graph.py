@@ -7,6 +7,7 @@ Catalyst prunes columns and pushes filters into each scan.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -25,15 +26,16 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Graph:
-    vertex_tables: dict[str, DataFrame]
-    edge_tables: dict[str, DataFrame]
+    vertex_tables: Mapping[str, DataFrame]
+    edge_tables: Mapping[str, DataFrame]
     #: Edge label -> (labels of its sources, labels of its targets); all labels where it has no entry.
     ends: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = field(default_factory=dict)
     schema: GraphSchema = field(default_factory=GraphSchema)
 
     @property
     def spark(self):
-        return next(iter({**self.vertex_tables, **self.edge_tables}.values())).sparkSession
+        tables = self.vertex_tables or self.edge_tables
+        return tables[next(iter(tables))].sparkSession
 
     def vertices(self, labels: tuple[str, ...] | None = None) -> DataFrame:
         """(id, label, properties) of the given labels, or of all."""

@@ -53,16 +53,20 @@ class GraphTraversalSource:
         self.graph = graph
 
     def V(self, *ids) -> "Traversal":
-        df = self.graph.vertices()
-        df = df.where(F.col("id").isin(list(ids))) if ids else df
-        df = df.withColumnsRenamed({"id": "_id", "label": "_label"}).withColumn("_path", F.array(F.col("_id").cast("string")))
-        return Traversal(self.graph, df, "vertex", tuple(self.graph.vertex_tables), True, unique=True)
+        def start(labels: tuple[str, ...]) -> DataFrame:
+            df = self.graph.vertices(labels)
+            df = df.where(F.col("id").isin(list(ids))) if ids else df
+            return df.withColumnsRenamed({"id": "_id", "label": "_label"}).withColumn("_path", F.array(F.col("_id").cast("string")))
+
+        return Traversal(self.graph, None, "vertex", tuple(self.graph.vertex_tables), True, unique=True, start=start)
 
     def E(self, *ids) -> "Traversal":
-        df = self.graph.edges()
-        df = df.where(F.col("id").isin([str(i) for i in ids])) if ids else df
-        df = df.withColumnsRenamed({"id": "_id", "label": "_label", "src": "_src", "dst": "_dst"}).withColumn("_path", F.array("_id"))
-        return Traversal(self.graph, df, "edge", tuple(self.graph.edge_tables), True)
+        def start(labels: tuple[str, ...]) -> DataFrame:
+            df = self.graph.edges(labels) if labels else self.graph.edges().limit(0)
+            df = df.where(F.col("id").isin([str(i) for i in ids])) if ids else df
+            return df.withColumnsRenamed({"id": "_id", "label": "_label", "src": "_src", "dst": "_dst"}).withColumn("_path", F.array("_id"))
+
+        return Traversal(self.graph, None, "edge", tuple(self.graph.edge_tables), True, start=start)
 
     def inject(self, *values) -> "Traversal":
         df = self.graph.spark.createDataFrame([(v,) for v in values], ["_value"]).withColumn("_path", F.array(F.col("_value").cast("string")))
@@ -101,14 +105,35 @@ class GraphTraversalSource:
 
 
 class Traversal:
-    def __init__(self, graph: Graph, df: DataFrame, kind: str, labels: tuple[str, ...] | None, loaded: bool, scope: tuple[str, ...] = (), order: tuple = (), starts: DataFrame | None = None, side: dict | None = None, unique: bool = False):
-        self.graph, self.df, self.kind, self.labels, self.loaded = graph, df, kind, labels, loaded
+    def __init__(
+        self,
+        graph: Graph,
+        df: DataFrame | None,
+        kind: str,
+        labels: tuple[str, ...] | None,
+        loaded: bool,
+        scope: tuple[str, ...] = (),
+        order: tuple = (),
+        starts: DataFrame | None = None,
+        side: dict | None = None,
+        unique: bool = False,
+        start: Callable[[tuple[str, ...]], DataFrame] | None = None,
+    ):
+        self.graph, self._df, self.kind, self.labels, self.loaded = graph, df, kind, labels, loaded
+        #: A start that is not planned yet: labels that follow it narrow the tables it opens.
+        self._start = start
         self.scope, self._order, self._starts, self.side = scope, order, starts, side if side is not None else {}
         #: Whether no element comes twice: true of a start, and kept by steps that only filter.
         self.unique = unique
 
     # ---- state -------------------------------------------------------------------------------------------
 
+    @property
+    def df(self) -> DataFrame:
+        if self._df is None:
+            self._df = self._start(self.labels)
+        return self._df
+
     def _new(self, df: DataFrame | None = None, **changed) -> "Traversal":
         now = {"kind": self.kind, "labels": self.labels, "loaded": self.loaded, "scope": self.scope, "order": (), "starts": self._starts, "side": self.side, "unique": self.unique and "kind" not in changed} | changed
         return Traversal(self.graph, self.df if df is None else df, **now)
@@ -222,6 +247,8 @@ class Traversal:
     def hasLabel(self, *labels: str) -> "Traversal":
         known = self.labels if self.labels is not None else tuple(self.graph.vertex_tables)
         kept = tuple(x for x in known if x in labels)
+        if self._df is None:
+            return Traversal(self.graph, None, self.kind, kept, True, unique=self.unique, start=self._start)
         if self.kind == "vertex" and not self.loaded:
             return self._new(labels=kept)._load()
         return self._new(self.df.where(F.col("_label").isin(list(labels))), labels=kept)

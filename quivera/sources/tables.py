@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,24 @@ CODES = 16
 LABELS = ("region", "nation", "customer", "supplier", "part", "order", "document", "user", "event")
 
 
+class LazyTables(Mapping):
+    """Tables by label, each planned when first asked for: a query opens the files that it reads and no others."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, label: str) -> DataFrame:
+        if label not in self._made:
+            self._made[label] = self._makers[label]()
+        return self._made[label]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 def vertex_id(label: str, key: Column) -> Column:
     return key.cast("long") * CODES + LABELS.index(label)
 
@@ -24,36 +44,44 @@ def id_of(label: str, key: int) -> int:
 def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """customer -placed-> order -contains-> part -supplied_by-> supplier -in_nation-> nation -in_region-> region, and
     user -did-> event. Ids are numbers of key and label, so joins stay numeric."""
-    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-    def vertices(label: str, table: str, key: str) -> DataFrame:
-        df = t(table)
-        return df.select(vertex_id(label, F.col(key)).alias("id"), *df.columns)
-
-    def edges(df: DataFrame, a: str, ka: str, b: str, kb: str, *more: str) -> DataFrame:
-        return df.select(vertex_id(a, F.col(ka)).alias("src"), vertex_id(b, F.col(kb)).alias("dst"), *more)
-
-    orders, lines, events = t("orders"), t("lineitem"), t("events")
-    nations = edges(t("customer"), "customer", "c_custkey", "nation", "c_nationkey").unionByName(edges(t("supplier"), "supplier", "s_suppkey", "nation", "s_nationkey"))
-    vertex_tables = {
-        "region": vertices("region", "region", "r_regionkey"),
-        "nation": vertices("nation", "nation", "n_nationkey"),
-        "customer": vertices("customer", "customer", "c_custkey"),
-        "supplier": vertices("supplier", "supplier", "s_suppkey"),
-        "part": vertices("part", "part", "p_partkey"),
-        "order": vertices("order", "orders", "o_orderkey"),
-        "document": vertices("document", "documents", "doc_id"),
-        "user": events.select(vertex_id("user", F.col("user_id")).alias("id"), F.col("user_id")).distinct(),
-        "event": vertices("event", "events", "event_id"),
-    }
-    edge_tables = {
-        "placed": edges(orders, "customer", "o_custkey", "order", "o_orderkey", "o_orderdate", "o_totalprice"),
-        "contains": edges(lines, "order", "l_orderkey", "part", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag"),
-        "supplied_by": edges(lines, "part", "l_partkey", "supplier", "l_suppkey", "l_discount"),
-        "in_nation": nations,
-        "in_region": edges(t("nation"), "nation", "n_nationkey", "region", "n_regionkey"),
-        "did": edges(events, "user", "user_id", "event", "event_id", "event_type", "ts", "value"),
-    }
+    opened: dict[str, DataFrame] = {}
+
+    def t(name: str) -> DataFrame:
+        if name not in opened:
+            opened[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return opened[name]
+
+    def vertices(label: str, table: str, key: str) -> Callable[[], DataFrame]:
+        return lambda: t(table).select(vertex_id(label, F.col(key)).alias("id"), "*")
+
+    def edges(table: str, a: str, ka: str, b: str, kb: str, *more: str) -> Callable[[], DataFrame]:
+        return lambda: t(table).select(vertex_id(a, F.col(ka)).alias("src"), vertex_id(b, F.col(kb)).alias("dst"), *more)
+
+    from_customer = edges("customer", "customer", "c_custkey", "nation", "c_nationkey")
+    from_supplier = edges("supplier", "supplier", "s_suppkey", "nation", "s_nationkey")
+    vertex_tables = LazyTables(
+        {
+            "region": vertices("region", "region", "r_regionkey"),
+            "nation": vertices("nation", "nation", "n_nationkey"),
+            "customer": vertices("customer", "customer", "c_custkey"),
+            "supplier": vertices("supplier", "supplier", "s_suppkey"),
+            "part": vertices("part", "part", "p_partkey"),
+            "order": vertices("order", "orders", "o_orderkey"),
+            "document": vertices("document", "documents", "doc_id"),
+            "user": lambda: t("events").select(vertex_id("user", F.col("user_id")).alias("id"), F.col("user_id")).distinct(),
+            "event": vertices("event", "events", "event_id"),
+        }
+    )
+    edge_tables = LazyTables(
+        {
+            "placed": edges("orders", "customer", "o_custkey", "order", "o_orderkey", "o_orderdate", "o_totalprice"),
+            "contains": edges("lineitem", "order", "l_orderkey", "part", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag"),
+            "supplied_by": edges("lineitem", "part", "l_partkey", "supplier", "l_suppkey", "l_discount"),
+            "in_nation": lambda: from_customer().unionByName(from_supplier()),
+            "in_region": edges("nation", "nation", "n_nationkey", "region", "n_regionkey"),
+            "did": edges("events", "user", "user_id", "event", "event_id", "event_type", "ts", "value"),
+        }
+    )
     ends = {
         "placed": (("customer",), ("order",)),
         "contains": (("order",), ("part",)),
