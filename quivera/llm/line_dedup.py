@@ -28,8 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ensure_importable, write_table
+from .common import ensure_importable, map_texts, write_table
 
 DEPTH = 3
 MIN_TOKENS = 5
@@ -38,8 +39,8 @@ DIFFERENT_SHARE = 0.5
 CONSTANT_SHARE = 0.6
 MAX_LOSS = 0.8
 VARIABLE = b"<*>"
-#: Leaves with recurring lines that are sent to the tasks as one sorted array; beyond it they are joined.
-SHIPPED_LEAVES = 1_000_000
+#: Hashes of leaves, or of lines to drop, that are sent to the tasks as one sorted array (32 MB); beyond it they are joined.
+SHIPPED = 4_000_000
 _DIGIT = re.compile(rb"[0-9]")
 
 LINES = "doc_id {id}, text_hash long, line_no int, leaf long, line_hash long, other_lines long"
@@ -110,26 +111,39 @@ def _recurring(lines: DataFrame, keys: list[str]) -> DataFrame:
     return counted.where((F.col("different") >= MIN_DOCUMENTS) & (F.col("different") >= DIFFERENT_SHARE * F.col("documents"))).select(*keys)
 
 
+def _shipped(hashes: DataFrame):
+    """A broadcast of the sorted hashes (one column) if they are few enough, else None."""
+    if hashes.count() > SHIPPED:
+        return None
+    return hashes.sparkSession.sparkContext.broadcast(np.sort(hashes.toArrow().column(0).to_numpy().view(np.uint64)))
+
+
+def _among(sorted_hashes: np.ndarray, hashes: list[int]) -> np.ndarray:
+    """Which of ``hashes`` are in the sorted array."""
+    asked = np.array(hashes, dtype=np.uint64)
+    if not len(sorted_hashes):
+        return np.zeros(len(asked), bool)
+    return sorted_hashes[np.minimum(np.searchsorted(sorted_hashes, asked), len(sorted_hashes) - 1)] == asked
+
+
 def _tokens_of(docs: DataFrame, leaves: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(leaf, line_hash, tokens): the distinct lines of the given leaves."""
-    spark = docs.sparkSession
-    shipped = None
-    if leaves.count() <= SHIPPED_LEAVES:
-        shipped = spark.sparkContext.broadcast(np.sort(leaves.toArrow().column(0).to_numpy()))
+    shipped = _shipped(leaves)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if shipped is None else set(shipped.value.view(np.uint64).tolist())
         seen: set[int] = set()
         for batch in batches:
             got = []
             for value in batch.column(1).cast(pa.binary()):
-                for _, leaf, line, _, tokens in parse_text(value.as_py()):
-                    if (wanted is None or leaf in wanted) and line not in seen:
+                lines = parse_text(value.as_py())
+                wanted = [True] * len(lines) if shipped is None else _among(shipped.value, [x[1] for x in lines]).tolist()
+                for (_, leaf, line, _, tokens), want in zip(lines, wanted):
+                    if want and line not in seen:
                         seen.add(line)
                         got.append((leaf, line, [t.decode("utf-8", "replace") for t in tokens]))
             leaf, line, tokens = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([_signed(leaf), _signed(line), pa.array(tokens, pa.list_(pa.string()))], names=["leaf", "line_hash", "tokens"])
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
 
     found = _texts(docs, doc_id, text).mapInArrow(run, "leaf long, line_hash long, tokens array<string>")
@@ -138,8 +152,8 @@ def _tokens_of(docs: DataFrame, leaves: DataFrame, doc_id: str, text: str) -> Da
     return found.groupBy("leaf", "line_hash").agg(F.first("tokens").alias("tokens"))
 
 
-def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, line_no): the lines to drop."""
+def recurring_hashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(parsed lines, hashes of the lines to drop), both written; a line's hash is that of its masked tokens."""
     parsed = write_table(parse(docs, doc_id, text), "lines")
     # A line counts once a document, and rows repeated are one document.
     lines = parsed.groupBy("leaf", "line_hash", "other_lines", "doc_id", "text_hash").agg(F.lit(1).alias("one"))
@@ -161,20 +175,68 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     template = write_table(template, "lines-templates")
     of_template = lines.join(template, ["leaf", "line_hash"])
     general = template.join(_recurring(of_template, ["template"]), "template", "left_semi").select("leaf", "line_hash")
-    dropped = write_table(exact.unionByName(general).distinct(), "lines-dropped")
-    return parsed.join(dropped, ["leaf", "line_hash"], "left_semi").select("doc_id", "text_hash", "line_no")
+    return parsed, write_table(exact.unionByName(general).select("line_hash").distinct(), "lines-dropped")
 
 
-def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count_into: str | None = None) -> DataFrame:
-    """``docs`` without the lines of recurring templates; ``count_into``: a column for the number dropped."""
-    found = recurring_lines(docs, doc_id, text).distinct()
+def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, line_no): the lines to drop."""
+    parsed, dropped = recurring_hashes(docs, doc_id, text)
+    return parsed.join(dropped, "line_hash", "left_semi").select("doc_id", "text_hash", "line_no")
+
+
+def _left_of(text: bytes, gone: set[int]) -> bytes | None:
+    """What is left without the lines of these numbers; None if it is too little of the text."""
+    left = b"\n".join(x for k, x in enumerate(text.split(b"\n")) if k not in gone)
+    size = lambda b: len(b.decode("utf-8", "replace"))
+    return left if size(left) >= (1 - MAX_LOSS) * size(text) else None
+
+
+def _drop_shipped(docs: DataFrame, shipped, text: str, count_into: str) -> DataFrame:
+    """Drop in one pass over the texts: the hashes are with the tasks."""
+
+    def work(texts: list[bytes | None]) -> list[list]:
+        at, numbers, hashes = [], [], []
+        for k, t in enumerate(texts):
+            for number, line in enumerate((t or b"").split(b"\n")):
+                tokens = masked_tokens(line)
+                if len(tokens) >= MIN_TOKENS:
+                    at.append(k)
+                    numbers.append(number)
+                    hashes.append(xxhash.xxh64_intdigest(b" ".join(tokens)))
+        gone: dict[int, set[int]] = {}
+        for j in np.flatnonzero(_among(shipped.value, hashes)).tolist():
+            gone.setdefault(at[j], set()).add(numbers[j])
+        out, dropped = list(texts), [0] * len(texts)
+        for k, lines in gone.items():
+            if (left := _left_of(texts[k], lines)) is not None:
+                out[k], dropped[k] = left, len(lines)
+        return [pa.array(out, pa.binary()).cast(pa.string(), safe=False), dropped]
+
+    return map_texts(docs, {text: T.StringType(), count_into: T.IntegerType()}, lambda: work, text)
+
+
+def _drop_joined(docs: DataFrame, found: DataFrame, doc_id: str, text: str, count_into: str) -> DataFrame:
+    """Drop by a join of the documents with their line numbers."""
     per_doc = write_table(found.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("__q_lines")), "lines-per-document")
     per_doc = per_doc.select(F.col("doc_id").alias("__q_id"), F.col("text_hash").alias("__q_hash"), "__q_lines")
     joined = docs.join(per_doc, F.col(doc_id).eqNullSafe(F.col("__q_id")) & (F.xxhash64(F.col(text)) == F.col("__q_hash")), "left")
     left = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, k: ~F.array_contains("__q_lines", k)), "\n")
     joined = joined.withColumn("__q_left", F.when(F.col("__q_lines").isNotNull(), left))
     loses = F.length("__q_left") >= (1 - MAX_LOSS) * F.length(text)
-    out = joined
-    if count_into:
-        out = out.withColumn(count_into, F.when(loses, F.size("__q_lines")).otherwise(0))
-    return out.withColumn(text, F.when(loses, F.col("__q_left")).otherwise(F.col(text))).drop("__q_id", "__q_hash", "__q_lines", "__q_left")
+    out = joined.withColumn(count_into, F.when(loses, F.size("__q_lines")).otherwise(0))
+    return out.withColumn(text, F.when(loses, F.col("__q_left")).otherwise(F.col(text)))
+
+
+def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count_into: str | None = None) -> DataFrame:
+    """``docs`` without the lines of recurring templates; ``count_into``: a column for the number dropped.
+
+    Up to ``SHIPPED`` hashes of lines go to the tasks, which drop in one pass; beyond it documents are joined.
+    """
+    parsed, dropped = recurring_hashes(docs, doc_id, text)
+    shipped, count = _shipped(dropped), count_into or "__q_count"
+    if shipped is not None:
+        out = _drop_shipped(docs, shipped, text, count)
+    else:
+        found = parsed.join(dropped, "line_hash", "left_semi").select("doc_id", "text_hash", "line_no").distinct()
+        out = _drop_joined(docs, found, doc_id, text, count)
+    return out.select(*[f"`{c}`" for c in docs.columns if c != count_into], *([count_into] if count_into else []))
