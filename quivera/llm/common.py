@@ -61,13 +61,14 @@ def map_texts(
     make: Callable[[], Callable[[list[bytes | None]], list[list]]],
     text: str = "text",
     keep: list[str] | None = None,
-    block_bytes: int = 8 << 20,
+    block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Append ``columns`` computed from the whole UTF-8 text of each row, in Arrow batches.
 
     ``make()`` is called once a task and gives a function from a block of texts (bytes or None) to one list
     per new column. Blocks hold about ``block_bytes`` of text, so memory does not follow the batch size.
     ``keep``: the input columns to pass on (all when None). New columns replace input columns of the same name.
+    A function with an attribute ``done`` has it called when the task's rows are through.
     """
     ensure_importable(df.sparkSession)
     kept = [f for f in df.schema.fields if (keep is None or f.name in keep) and f.name not in columns]
@@ -95,6 +96,7 @@ def map_texts(
                     names=[*names, *kinds],
                 )
                 start, size = end, 0
+        getattr(work, "done", lambda: None)()
 
     source = df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").cast("string").alias(TEXT))
     return source.mapInArrow(run, schema)

@@ -42,9 +42,9 @@ UNIGRAM, BPE = 1, 2
 UNKNOWN_TEXT = " ⁇ "
 #: A unigram model's penalty for an unknown character, below its least score.
 UNKNOWN_PENALTY = 10.0
-#: Paths and pairs kept by a Python worker; beyond it the memory starts anew.
-KEPT_PATHS = 400_000
-KEPT_PAIRS = 400_000
+#: Paths kept during a task and pairs kept by a Python worker (some 60 MB each); beyond it the memory starts anew.
+KEPT_PATHS = 250_000
+KEPT_PAIRS = 200_000
 INFINITY = float("inf")
 
 
@@ -275,7 +275,7 @@ class Transducer:
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a text as native 32-bit integers."""
         whole = b"".join(map(self.paths.__getitem__, self.rough.findall(self.normalise(text))))
-        if len(self.paths) > KEPT_PATHS:
+        if len(self.paths) > KEPT_PATHS:  # between texts: one text's own distinct stretches are bounded by its length
             self.paths.clear()
         return whole
 
@@ -362,6 +362,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, text: str = "text", keep: l
             made = [_ids_array(blobs), pa.array(np.array([len(b) // 4 for b in blobs], np.int32))]
             return made + ([pa.array([t.decode(np.frombuffer(b, np.int32).tolist()) for b in blobs], pa.string())] if decoded else [])
 
+        work.done = t.paths.clear  # a worker that goes on to other tasks holds no paths
         return work
 
     return map_texts(docs, columns, make, text, keep)
