@@ -7,10 +7,10 @@ have at its position is part of a template and any other is a variable field; li
 counts of (leaf, line) and (leaf, position, token), which combine before an exchange, so a hot leaf or line is
 never in one task and the result does not depend on the order of lines.
 
-A template recurs if lines of it stand in ``MIN_DOCUMENTS`` documents or more that differ otherwise: documents
-are told apart by the least hash of their other lines, and at least ``DIFFERENT_SHARE`` of the template's
-documents must differ so. Lines of copies of whole documents are thus left for document dedup, which keeps one
-of the copies. All lines of recurring templates are dropped, but a document that would lose over ``MAX_LOSS`` of
+A template recurs if lines of it stand in ``MIN_DOCUMENTS`` documents or more that differ otherwise. Exact
+copies are one document, and more copies never change what is found. Documents are told apart by the least hash
+of their other lines. Lines of copies of whole documents are thus left for document dedup, which keeps one of
+the copies. All lines of recurring templates are dropped, but a document that would lose over ``MAX_LOSS`` of
 its characters is itself a copy with changes and is left whole, again for document dedup.
 
 Defined results: lines of fewer than ``MIN_TOKENS`` tokens, blank ones among them, are never dropped; a null
@@ -35,7 +35,8 @@ from .common import ensure_importable, map_texts, write_table
 DEPTH = 3
 MIN_TOKENS = 5
 MIN_DOCUMENTS = 3
-DIFFERENT_SHARE = 0.5
+#: No share of a template's documents is asked for: copies would lower it.
+DIFFERENT_SHARE = 0.0
 CONSTANT_SHARE = 0.6
 MAX_LOSS = 0.8
 VARIABLE = b"<*>"
@@ -106,9 +107,8 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 def _recurring(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Keys whose lines stand in enough documents that differ otherwise. Two-level counts: hot keys combine early."""
-    by_rest = lines.groupBy(*keys, "other_lines").agg(F.count("*").alias("n"))
-    counted = by_rest.groupBy(*keys).agg(F.count("*").alias("different"), F.sum("n").alias("documents"))
-    return counted.where((F.col("different") >= MIN_DOCUMENTS) & (F.col("different") >= DIFFERENT_SHARE * F.col("documents"))).select(*keys)
+    by_rest = lines.select(*keys, "other_lines").distinct()
+    return by_rest.groupBy(*keys).agg(F.count("*").alias("different")).where(F.col("different") >= MIN_DOCUMENTS).select(*keys)
 
 
 def _shipped(hashes: DataFrame):
@@ -155,9 +155,8 @@ def _tokens_of(docs: DataFrame, leaves: DataFrame, doc_id: str, text: str) -> Da
 def recurring_hashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(parsed lines, hashes of the lines to drop), both written; a line's hash is that of its masked tokens."""
     parsed = write_table(parse(docs, doc_id, text), "lines")
-    # A line counts once a document, and rows repeated are one document.
-    lines = parsed.groupBy("leaf", "line_hash", "other_lines", "doc_id", "text_hash").agg(F.lit(1).alias("one"))
-    lines = write_table(lines.drop("one"), "lines-by-document")
+    # Exact copies have the same other lines, so a line counts once for all of them.
+    lines = write_table(parsed.select("leaf", "line_hash", "other_lines").distinct(), "lines-by-document")
     exact = write_table(_recurring(lines, ["leaf", "line_hash"]), "lines-exact")
     # Lines that do not recur as they are may be lines of a template with variable fields.
     open_leaves = write_table(_recurring(lines, ["leaf"]), "lines-leaves")

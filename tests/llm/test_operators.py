@@ -349,6 +349,19 @@ def test_line_dedup_odd_rows(odd, empty):
     assert line_dedup.drop_recurring_lines(empty).count() == 0
 
 
+def _own_lines(rng, n):
+    return [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(9)) for _ in range(n)]
+
+
+def test_line_dedup_copies_do_not_count(spark):
+    """A thousand copies of one document leave a passage of twenty others found, and do not make lines of their own recur."""
+    rng, passage = random.Random(11), "this passage stands in many pages that share nothing else"
+    rows = [(k, "\n".join([*_own_lines(rng, 3), passage])) for k in range(20)]
+    rows += [(1000 + k, rows[0][1]) for k in range(1000)]
+    got = {(r["doc_id"], r["line_no"]) for r in line_dedup.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(k, 3) for k, _ in rows}
+
+
 # ---- 6 SimHash ---------------------------------------------------------------------------------------------
 
 
