@@ -8,9 +8,9 @@ counts of (leaf, line) and (leaf, position, token), which combine before an exch
 never in one task and the result does not depend on the order of lines.
 
 A template recurs if lines of it stand in ``MIN_DOCUMENTS`` documents or more that differ otherwise. Exact
-copies are one document, and more copies never change what is found. Documents are told apart by the least hash
-of their other lines. Lines of copies of whole documents are thus left for document dedup, which keeps one of
-the copies. All lines of recurring templates are dropped, but a document that would lose over ``MAX_LOSS`` of
+copies are one document, and more copies never change what is found. Documents are told apart by the sum of the
+hashes of all their other distinct lines (with digits masked), so no shared line can hide that the rest differs.
+Lines of copies of whole documents are thus left for document dedup, which keeps one of the copies. All lines of recurring templates are dropped, but a document that would lose over ``MAX_LOSS`` of
 its characters is itself a copy with changes and is left whole, again for document dedup.
 
 Defined results: lines of fewer than ``MIN_TOKENS`` tokens, blank ones among them, are never dropped; a null
@@ -43,6 +43,7 @@ VARIABLE = b"<*>"
 #: Hashes of leaves, or of lines to drop, that are sent to the tasks as one sorted array (32 MB); beyond it they are joined.
 SHIPPED = 4_000_000
 _DIGIT = re.compile(rb"[0-9]")
+_BITS = (1 << 64) - 1
 
 LINES = "doc_id {id}, text_hash long, line_no int, leaf long, line_hash long, other_lines long"
 
@@ -60,18 +61,17 @@ def leaf_of(tokens: list[bytes]) -> int:
 
 
 def parse_text(text: bytes | None, min_tokens: int = MIN_TOKENS) -> list[tuple[int, int, int, int, list[bytes]]]:
-    """(line_no, leaf, line_hash, least hash of the text's other lines, tokens) of each line to look at."""
+    """(line_no, leaf, line_hash, sum of the hashes of the text's other lines, tokens) of each line to look at."""
     found = []
     for k, line in enumerate((text or b"").split(b"\n")):
         tokens = masked_tokens(line)
         if tokens:
             found.append((k, tokens, xxhash.xxh64_intdigest(b" ".join(tokens))))
-    least = sorted({h for _, _, h in found})[:2]
+    whole = sum({h for _, _, h in found})
     out = []
     for k, tokens, h in found:
         if len(tokens) >= min_tokens:
-            others = [x for x in least if x != h]
-            out.append((k, leaf_of(tokens), h, others[0] if others else 0, tokens))
+            out.append((k, leaf_of(tokens), h, (whole - h) & _BITS, tokens))
     return out
 
 

@@ -362,6 +362,16 @@ def test_line_dedup_copies_do_not_count(spark):
     assert got == {(k, 3) for k, _ in rows}
 
 
+@pytest.mark.parametrize(("shared", "own"), [(2, 3), (10, 3), (10, 10)])
+def test_line_dedup_boilerplate_of_several_lines(spark, shared, own):
+    """All lines of a shared passage are found, however long it is."""
+    rng = random.Random(12)
+    passage = _own_lines(rng, shared)
+    rows = [(k, "\n".join([*passage, *_own_lines(rng, own)])) for k in range(60)]
+    got = {(r["doc_id"], r["line_no"]) for r in line_dedup.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(k, n) for k, _ in rows for n in range(shared)}
+
+
 # ---- 6 SimHash ---------------------------------------------------------------------------------------------
 
 
