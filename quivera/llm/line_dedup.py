@@ -1,9 +1,11 @@
 """Line dedup with a log-template tree.
 
 The tree has a fixed depth: a line goes by its number of tokens, then by its ``DEPTH`` leading tokens, to a
-leaf. A token with a digit is a variable field from the start. In a leaf, a token that enough different lines
-have at its position is part of a template and any other is a variable field; lines with at least
-``CONSTANT_SHARE`` constant tokens belong to the template that this leaves of them. Leaves are worked on by
+leaf. A token with a digit is a variable field from the start. In a leaf, the count of a token is
+the number of different lines that have it at its position. A line's template has ``CONSTANT_SHARE`` of its tokens
+as constants at least, so the count that this share of its tokens reaches is the size of its template; tokens of
+``RELATIVE`` times this count or more (and of ``MIN_DOCUMENTS``) are constant and any other is a variable field.
+Sizes are compared within a line, so neither more lines nor other templates of the leaf change the verdict. Leaves are worked on by
 counts of (leaf, line) and (leaf, position, token), which combine before an exchange, so a hot leaf or line is
 never in one task and the result does not depend on the order of lines.
 
@@ -38,6 +40,7 @@ MIN_DOCUMENTS = 3
 #: No share of a template's documents is asked for: copies would lower it.
 DIFFERENT_SHARE = 0.0
 CONSTANT_SHARE = 0.6
+RELATIVE = 0.1
 MAX_LOSS = 0.8
 VARIABLE = b"<*>"
 #: Hashes of leaves, or of lines to drop, that are sent to the tasks as one sorted array (32 MB); beyond it they are joined.
@@ -163,13 +166,16 @@ def recurring_hashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     distinct = _tokens_of(docs, open_leaves, doc_id, text).join(exact, ["leaf", "line_hash"], "left_anti")
     distinct = write_table(distinct, "lines-open")
     tokens = distinct.select("leaf", "line_hash", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "token"))
-    constant = tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCUMENTS).drop("n")
+    constant = tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCUMENTS)
     kept = tokens.join(constant, ["leaf", "at", "token"])
+    size_of_template = F.element_at(F.sort_array(F.transform("kept", lambda x: x["n"]), False), F.ceil(CONSTANT_SHARE * F.col("size")).cast("int"))
+    constants = F.transform(F.filter("kept", lambda x: x["n"] >= RELATIVE * F.col("enough")), lambda x: F.struct(x["at"], x["token"]))
     template = (
         kept.groupBy("leaf", "line_hash", "size")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("kept"))
+        .agg(F.sort_array(F.collect_list(F.struct("at", "token", "n"))).alias("kept"))
         .where(F.size("kept") >= CONSTANT_SHARE * F.col("size"))
-        .select("leaf", "line_hash", F.xxhash64("leaf", F.to_json("kept")).alias("template"))
+        .withColumn("enough", size_of_template)
+        .select("leaf", "line_hash", F.xxhash64("leaf", F.to_json(constants)).alias("template"))
     )
     template = write_table(template, "lines-templates")
     of_template = lines.join(template, ["leaf", "line_hash"])

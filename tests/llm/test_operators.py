@@ -372,6 +372,20 @@ def test_line_dedup_boilerplate_of_several_lines(spark, shared, own):
     assert got == {(k, n) for k, _ in rows for n in range(shared)}
 
 
+@pytest.mark.parametrize("n", [30, 300, 10_000])
+def test_line_dedup_template_at_any_size(spark, n):
+    """One template with three fields of 200 values is found whole, in a leaf of 30 lines and of 10,000."""
+    rng = random.Random(13)
+    field = lambda kind: f"{kind}{''.join(chr(97 + int(d)) for d in str(rng.randrange(200)))}"
+    rows = []
+    for k in range(n):
+        a, b, c = field("user"), field("host"), field("path")
+        line = f"session opened for user {a} on host {b} by service login with path {c} at once today"
+        rows.append((k, f"{line}\n{_own_lines(rng, 1)[0]}"))
+    got = {(r["doc_id"], r["line_no"]) for r in line_dedup.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(k, 0) for k, _ in rows}
+
+
 # ---- 6 SimHash ---------------------------------------------------------------------------------------------
 
 
