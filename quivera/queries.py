@@ -765,3 +765,48 @@ def coerced_values(g):
     v = _V(g, "customer").values("c_nationkey", "c_name")
     number = coerce(F.col("_value"), PropertyKey("x", "Long"))
     return v.df.select(number.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+
+
+# ---- the same operators over all rows (the queries above them are bound to the id ranges of their SQL) --------
+
+
+@_query("select n_name, string_agg(c_name, ',' order by c_name) as names from nation join customer on c_nationkey = n_nationkey group by n_name")
+def fold_names_all(g):
+    t = _V(g, "customer").as_("c").out("in_nation").as_("n").select("c", "n", by=["c_name", "n_name"])
+    return t.df.groupBy(F.col("_value.n").alias("n_name")).agg(F.array_join(F.sort_array(F.collect_list("_value.c")), ",").alias("names"))
+
+
+@_query("select a.c_custkey as a, count(*) as n from customer a join customer b on a.c_nationkey = b.c_nationkey and a.c_custkey <> b.c_custkey group by 1")
+def where_neq_label_all(g):
+    """Counted by start, as the pairs grow with the square of a nation's customers."""
+    t = _V(g, "customer").as_("a").out("in_nation").in_("in_nation").hasLabel("customer").where(P.neq("a")).as_("b").select("a", "b", by=["c_custkey", "c_custkey"])
+    return t.df.groupBy(F.col("_value.a").alias("a")).agg(F.count("*").alias("n"))
+
+
+@_query("select s_suppkey * 16 + 3 as source, n_regionkey * 16 as target, 2 as distance, (s_suppkey * 16 + 3) || '>' || (s_nationkey * 16 + 1) || '>' || (n_regionkey * 16) as path from supplier join nation on s_nationkey = n_nationkey")
+def shortest_path_all(g):
+    s = _sub(g, ["supplier", "nation", "region"], ["in_nation", "in_region"])
+    s = s.with_edges("in_nation", s.edge_tables["in_nation"].where(F.col("src") % 16 == 3))
+    t = _V(s, "supplier").shortestPath(target=__.hasLabel("region"), max_depth=2)
+    return t.df.where("distance = 2").select("source", "target", "distance", F.array_join("path", ">").alias("path"))
+
+
+@_query("select o_orderkey, o_custkey * 16 + 2 as out_vertex, o_orderkey * 16 + 5 as in_vertex from orders")
+def relation_ids_all(g):
+    from .functions.values import parse_relation_id, relation_id
+
+    e = g.edge_tables["placed"]
+    text = e.select(relation_id(((F.col("dst") - 5) / 16).cast("long"), F.col("src"), F.lit(7), F.col("dst")).alias("r"))
+    p = text.select(parse_relation_id(F.col("r")).alias("p"))
+    return p.select(F.col("p.relation").alias("o_orderkey"), "p.out_vertex", "p.in_vertex")
+
+
+@_query("select (select 2 * count(*) from region) as vertices, (select count(*) from nation) + (select count(*) from region) as edges")
+def add_elements_all(g):
+    r = g.vertex_tables["region"]
+    s = Graph({"region": r}, {"in_region": g.edge_tables["in_region"].select("src", "dst")}, g.ends)
+    more = r.select((F.col("id") + 1600).alias("id"), (F.col("r_regionkey") + 100).alias("r_regionkey"), "r_name")
+    grown = s.traversal().addV("region", more.unionByName(r)).traversal()
+    grown = grown.graph.with_vertices("nation", g.vertex_tables["nation"])
+    grown = grown.traversal().addE("in_region", r.select((F.col("id") + 1600).alias("src"), F.col("id").alias("dst")).unionByName(r.select(F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst"))))
+    return grown.vertices(("region",)).agg(F.count("*").alias("vertices")).join(grown.edges().agg(F.count("*").alias("edges")))
