@@ -372,6 +372,14 @@ def test_line_dedup_boilerplate_of_several_lines(spark, shared, own):
     assert got == {(k, n) for k, _ in rows for n in range(shared)}
 
 
+def test_line_dedup_identity_is_of_all_other_lines():
+    """Two shared lines of small hashes do not hide that the rest of each text differs."""
+    rng = random.Random(14)
+    passage = sorted(_own_lines(rng, 3000), key=lambda x: xxhash.xxh64_intdigest(x.encode()))[:2]
+    found = [line_dedup.parse_text("\n".join([*passage, *_own_lines(rng, 3)]).encode()) for _ in range(60)]
+    assert all(len({lines[k][3] for lines in found}) == 60 for k in range(2))
+
+
 @pytest.mark.parametrize("n", [30, 300, 10_000])
 def test_line_dedup_template_at_any_size(spark, n):
     """One template with three fields of 200 values is found whole, in a leaf of 30 lines and of 10,000."""
