@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -23,35 +24,67 @@ _PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(
 _own_root: dict[str, str] = {}
 
 
+#: Rows of an Arrow batch to and from Python workers, unless the session sets its own number (Spark's default is 10,000).
+BATCH_ROWS = 1_000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers import this package even if the driver found it by ``sys.path`` alone."""
+    """Let Python workers import this package even if the driver found it by ``sys.path`` alone; keep their batches small."""
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if _PACKAGE_ROOT not in have.split(":"):
         env["PYTHONPATH"] = f"{_PACKAGE_ROOT}:{have}".rstrip(":")
+    if spark.conf.get(_BATCH_KEY) == "10000":
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return a worker's freed memory to the system: idle workers stay with their executor for long."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to return
+        pass
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a folder of our own where it is unset."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``); a folder of our own where it is unset on one machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         _own_root[app] = "file://" + tempfile.mkdtemp(prefix="quivera-")
         spark.sparkContext.setCheckpointDir(_own_root[app])
     return _own_root[app]
 
 
+#: Paths of this driver's tables that are still there, oldest first.
+written: list[str] = []
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/quivera/{label}-{uuid.uuid4().hex}"
 
 
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of ``written`` that no plan reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in written:
+            written.remove(path)
+
+
 def write_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends here and executors may be lost."""
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
+    written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,7 +94,7 @@ def map_texts(
     make: Callable[[], Callable[[list[bytes | None]], list[list]]],
     text: str = "text",
     keep: list[str] | None = None,
-    block_bytes: int = 4 << 20,
+    block_bytes: int = 2 << 20,
 ) -> DataFrame:
     """Append ``columns`` computed from the whole UTF-8 text of each row, in Arrow batches.
 
@@ -97,6 +130,8 @@ def map_texts(
                 )
                 start, size = end, 0
         getattr(work, "done", lambda: None)()
+        del work
+        give_back()
 
     source = df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").cast("string").alias(TEXT))
     return source.mapInArrow(run, schema)

@@ -17,8 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, token_ids, n_tokens, round_trip: every whole text encoded, and its ids decoded and compared."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = pieces.encode(docs, decoded="decoded")
-    return made.select("doc_id", "token_ids", "n_tokens", pieces.round_trip_column("text", "decoded").alias("round_trip"))
+    return pieces.encode(docs, keep=["doc_id"], round_trip="round_trip")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
