@@ -5,19 +5,20 @@ leaf. A token with a digit is a variable field from the start. In a leaf, the co
 the number of different lines that have it at its position. A line's template has ``CONSTANT_SHARE`` of its tokens
 as constants at least, so the count that this share of its tokens reaches is the size of its template; tokens of
 ``RELATIVE`` times this count or more (and of ``MIN_DOCUMENTS``) are constant and any other is a variable field.
-Sizes are compared within a line, so neither more lines nor other templates of the leaf change the verdict. Leaves are worked on by
+Besides its leading tokens, which all lines of a leaf have, a template has a constant at least. Sizes are compared
+within a line, so neither more lines nor other templates of the leaf change the verdict. Leaves are worked on by
 counts of (leaf, line) and (leaf, position, token), which combine before an exchange, so a hot leaf or line is
 never in one task and the result does not depend on the order of lines.
 
-A template recurs if lines of it stand in ``MIN_DOCUMENTS`` documents or more that differ otherwise. Exact
-copies are one document, and more copies never change what is found. Documents are told apart by the sum of the
-hashes of all their other distinct lines (with digits masked), so no shared line can hide that the rest differs.
-Lines of copies of whole documents are thus left for document dedup, which keeps one of the copies. All lines of recurring templates are dropped, but a document that would lose over ``MAX_LOSS`` of
-its characters is itself a copy with changes and is left whole, again for document dedup.
+A template recurs if lines of it stand in ``MIN_DOCUMENTS`` different texts or more: copies of a whole text are one,
+however many there are, so copies never change what is found, and a text that only its copies repeat is left for
+document dedup. All lines of recurring templates are dropped from all documents, of any length and whatever share of a
+document they are. Near copies are different texts: lines that three of them share go from all of them.
 
-Defined results: lines of fewer than ``MIN_TOKENS`` tokens, blank ones among them, are never dropped; a null
-text stays null and an empty one empty; rows repeated in id and text count as one document and lose the same
-lines; input columns pass unchanged.
+Defined results: blank lines are never dropped; a null text stays null and an empty one empty; a text all of whose
+lines recur becomes empty; rows repeated count as one text and lose the same lines; very long texts and lines are read
+whole; lines compare by 64-bit hashes of their tokens, so white space within a line does not count; an empty table
+gives an empty one; input columns pass unchanged, also those named like columns used here.
 """
 
 from __future__ import annotations
@@ -32,23 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ensure_importable, map_texts, write_table
+from .common import ensure_importable, give_back, map_texts, write_table
 
 DEPTH = 3
-MIN_TOKENS = 5
 MIN_DOCUMENTS = 3
-#: No share of a template's documents is asked for: copies would lower it.
-DIFFERENT_SHARE = 0.0
 CONSTANT_SHARE = 0.6
 RELATIVE = 0.1
-MAX_LOSS = 0.8
 VARIABLE = b"<*>"
 #: Hashes of leaves, or of lines to drop, that are sent to the tasks as one sorted array (32 MB); beyond it they are joined.
 SHIPPED = 4_000_000
+#: Lines of which a task remembers that it has given their tokens; beyond it the memory starts anew.
+KEPT_LINES = 200_000
 _DIGIT = re.compile(rb"[0-9]")
-_BITS = (1 << 64) - 1
 
-LINES = "doc_id {id}, text_hash long, line_no int, leaf long, line_hash long, other_lines long"
+LINES = "doc_id {id}, text_hash long, line_no int, leaf long, line_hash long"
 
 
 def masked_tokens(line: bytes) -> list[bytes]:
@@ -63,19 +61,12 @@ def leaf_of(tokens: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join([b"%d" % len(tokens), *tokens[:DEPTH]]))
 
 
-def parse_text(text: bytes | None, min_tokens: int = MIN_TOKENS) -> list[tuple[int, int, int, int, list[bytes]]]:
-    """(line_no, leaf, line_hash, sum of the hashes of the text's other lines, tokens) of each line to look at."""
-    found = []
+def parse_text(text: bytes | None) -> Iterator[tuple[int, int, int, list[bytes]]]:
+    """(line_no, leaf, line_hash, tokens) of each line that is not blank."""
     for k, line in enumerate((text or b"").split(b"\n")):
         tokens = masked_tokens(line)
         if tokens:
-            found.append((k, tokens, xxhash.xxh64_intdigest(b" ".join(tokens))))
-    whole = sum({h for _, _, h in found})
-    out = []
-    for k, tokens, h in found:
-        if len(tokens) >= min_tokens:
-            out.append((k, leaf_of(tokens), h, (whole - h) & _BITS, tokens))
-    return out
+            yield k, leaf_of(tokens), xxhash.xxh64_intdigest(b" ".join(tokens)), tokens
 
 
 def _signed(values) -> pa.Array:
@@ -87,33 +78,28 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row of hashes for each line to look at."""
+    """A row of hashes for each line that is not blank."""
     ensure_importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, parsed = [], []
             for k, value in enumerate(batch.column(1).cast(pa.binary())):
-                lines = parse_text(value.as_py())
+                lines = [x[:3] for x in parse_text(value.as_py())]
                 rows += [k] * len(lines)
-                parsed += [x[:4] for x in lines]
-            number, leaf, line, other = zip(*parsed) if parsed else ((), (), (), ())
+                parsed += lines
+            number, leaf, line = zip(*parsed) if parsed else ((), (), ())
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(2).take(at), pa.array(number, pa.int32()), _signed(leaf), _signed(line), _signed(other)],
-                names=["doc_id", "text_hash", "line_no", "leaf", "line_hash", "other_lines"],
+                [batch.column(0).take(at), batch.column(2).take(at), pa.array(number, pa.int32()), _signed(leaf), _signed(line)],
+                names=["doc_id", "text_hash", "line_no", "leaf", "line_hash"],
             )
+        give_back()
 
     source = _texts(docs, doc_id, text)
     return source.mapInArrow(run, LINES.format(id=source.schema["doc_id"].dataType.simpleString()))
 
 
-def _recurring(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys whose lines stand in enough documents that differ otherwise. Two-level counts: hot keys combine early."""
-    by_rest = lines.select(*keys, "other_lines").distinct()
-    return by_rest.groupBy(*keys).agg(F.count("*").alias("different")).where(F.col("different") >= MIN_DOCUMENTS).select(*keys)
-
-
 def _shipped(hashes: DataFrame):
     """A broadcast of the sorted hashes (one column) if they are few enough, else None."""
     if hashes.count() > SHIPPED:
@@ -138,16 +124,18 @@ def _tokens_of(docs: DataFrame, leaves: DataFrame, doc_id: str, text: str) -> Da
         for batch in batches:
             got = []
             for value in batch.column(1).cast(pa.binary()):
-                lines = parse_text(value.as_py())
+                lines = list(parse_text(value.as_py()))
                 wanted = [True] * len(lines) if shipped is None else _among(shipped.value, [x[1] for x in lines]).tolist()
-                for (_, leaf, line, _, tokens), want in zip(lines, wanted):
+                for (_, leaf, line, tokens), want in zip(lines, wanted):
                     if want and line not in seen:
                         seen.add(line)
                         got.append((leaf, line, [t.decode("utf-8", "replace") for t in tokens]))
             leaf, line, tokens = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([_signed(leaf), _signed(line), pa.array(tokens, pa.list_(pa.string()))], names=["leaf", "line_hash", "tokens"])
-            if len(seen) > 200_000:
+            if len(seen) > KEPT_LINES:
                 seen.clear()
+        del seen
+        give_back()
 
     found = _texts(docs, doc_id, text).mapInArrow(run, "leaf long, line_hash long, tokens array<string>")
     if shipped is None:
@@ -155,14 +143,16 @@ def _tokens_of(docs: DataFrame, leaves: DataFrame, doc_id: str, text: str) -> Da
     return found.groupBy("leaf", "line_hash").agg(F.first("tokens").alias("tokens"))
 
 
-def recurring_hashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(parsed lines, hashes of the lines to drop), both written; a line's hash is that of its masked tokens."""
-    parsed = write_table(parse(docs, doc_id, text), "lines")
-    # Exact copies have the same other lines, so a line counts once for all of them.
-    lines = write_table(parsed.select("leaf", "line_hash", "other_lines").distinct(), "lines-by-document")
-    exact = write_table(_recurring(lines, ["leaf", "line_hash"]), "lines-exact")
+def recurring_hashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(line_hash): the lines to drop, as a written table; a line's hash is that of its masked tokens."""
+    # A line counts once for all copies of a text. Distinct rows combine before the exchange, and so do the counts.
+    lines = write_table(parse(docs, doc_id, text).select("leaf", "line_hash", "text_hash").distinct(), "lines")
+    counted = write_table(lines.groupBy("leaf", "line_hash").agg(F.count("*").alias("texts")), "lines-counted")
+    exact = counted.where(F.col("texts") >= MIN_DOCUMENTS).select("leaf", "line_hash")
     # Lines that do not recur as they are may be lines of a template with variable fields.
-    open_leaves = write_table(_recurring(lines, ["leaf"]), "lines-leaves")
+    rare = counted.where(F.col("texts") < MIN_DOCUMENTS)
+    open_leaves = rare.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("texts").alias("texts")).where((F.col("n") > 1) & (F.col("texts") >= MIN_DOCUMENTS))
+    open_leaves = write_table(open_leaves.select("leaf"), "lines-leaves")
     distinct = _tokens_of(docs, open_leaves, doc_id, text).join(exact, ["leaf", "line_hash"], "left_anti")
     distinct = write_table(distinct, "lines-open")
     tokens = distinct.select("leaf", "line_hash", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "token"))
@@ -172,28 +162,23 @@ def recurring_hashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     constants = F.transform(F.filter("kept", lambda x: x["n"] >= RELATIVE * F.col("enough")), lambda x: F.struct(x["at"], x["token"]))
     template = (
         kept.groupBy("leaf", "line_hash", "size")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "token", "n"))).alias("kept"))
+        .agg(F.sort_array(F.collect_list(F.struct("at", "token", "n"))).alias("kept"))  # a line's own tokens
         .where(F.size("kept") >= CONSTANT_SHARE * F.col("size"))
         .withColumn("enough", size_of_template)
-        .select("leaf", "line_hash", F.xxhash64("leaf", F.to_json(constants)).alias("template"))
+        .withColumn("constants", constants)
+        .where(F.exists("constants", lambda x: x["at"] >= DEPTH))
+        .select("leaf", "line_hash", F.xxhash64("leaf", F.to_json("constants")).alias("template"))
     )
     template = write_table(template, "lines-templates")
-    of_template = lines.join(template, ["leaf", "line_hash"])
-    general = template.join(_recurring(of_template, ["template"]), "template", "left_semi").select("leaf", "line_hash")
-    return parsed, write_table(exact.unionByName(general).select("line_hash").distinct(), "lines-dropped")
+    texts_of = lines.join(template, ["leaf", "line_hash"]).select("template", "text_hash").distinct()
+    recurring = texts_of.groupBy("template").agg(F.count("*").alias("texts")).where(F.col("texts") >= MIN_DOCUMENTS)
+    general = template.join(recurring, "template", "left_semi").select("line_hash")
+    return write_table(exact.select("line_hash").unionByName(general).distinct(), "lines-dropped")
 
 
 def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, line_no): the lines to drop."""
-    parsed, dropped = recurring_hashes(docs, doc_id, text)
-    return parsed.join(dropped, "line_hash", "left_semi").select("doc_id", "text_hash", "line_no")
-
-
-def _left_of(text: bytes, gone: set[int]) -> bytes | None:
-    """What is left without the lines of these numbers; None if it is too little of the text."""
-    left = b"\n".join(x for k, x in enumerate(text.split(b"\n")) if k not in gone)
-    size = lambda b: len(b.decode("utf-8", "replace"))
-    return left if size(left) >= (1 - MAX_LOSS) * size(text) else None
+    return parse(docs, doc_id, text).join(recurring_hashes(docs, doc_id, text), "line_hash", "left_semi").select("doc_id", "text_hash", "line_no")
 
 
 def _drop_shipped(docs: DataFrame, shipped, text: str, count_into: str) -> DataFrame:
@@ -204,7 +189,7 @@ def _drop_shipped(docs: DataFrame, shipped, text: str, count_into: str) -> DataF
         for k, t in enumerate(texts):
             for number, line in enumerate((t or b"").split(b"\n")):
                 tokens = masked_tokens(line)
-                if len(tokens) >= MIN_TOKENS:
+                if tokens:
                     at.append(k)
                     numbers.append(number)
                     hashes.append(xxhash.xxh64_intdigest(b" ".join(tokens)))
@@ -213,8 +198,7 @@ def _drop_shipped(docs: DataFrame, shipped, text: str, count_into: str) -> DataF
             gone.setdefault(at[j], set()).add(numbers[j])
         out, dropped = list(texts), [0] * len(texts)
         for k, lines in gone.items():
-            if (left := _left_of(texts[k], lines)) is not None:
-                out[k], dropped[k] = left, len(lines)
+            out[k], dropped[k] = b"\n".join(x for n, x in enumerate(texts[k].split(b"\n")) if n not in lines), len(lines)
         return [pa.array(out, pa.binary()).cast(pa.string(), safe=False), dropped]
 
     return map_texts(docs, {text: T.StringType(), count_into: T.IntegerType()}, lambda: work, text)
@@ -226,10 +210,8 @@ def _drop_joined(docs: DataFrame, found: DataFrame, doc_id: str, text: str, coun
     per_doc = per_doc.select(F.col("doc_id").alias("__q_id"), F.col("text_hash").alias("__q_hash"), "__q_lines")
     joined = docs.join(per_doc, F.col(doc_id).eqNullSafe(F.col("__q_id")) & (F.xxhash64(F.col(text)) == F.col("__q_hash")), "left")
     left = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, k: ~F.array_contains("__q_lines", k)), "\n")
-    joined = joined.withColumn("__q_left", F.when(F.col("__q_lines").isNotNull(), left))
-    loses = F.length("__q_left") >= (1 - MAX_LOSS) * F.length(text)
-    out = joined.withColumn(count_into, F.when(loses, F.size("__q_lines")).otherwise(0))
-    return out.withColumn(text, F.when(loses, F.col("__q_left")).otherwise(F.col(text)))
+    out = joined.withColumn("__q_left", F.when(F.col("__q_lines").isNotNull(), left).otherwise(F.col(text)))
+    return out.withColumn(count_into, F.coalesce(F.size("__q_lines"), F.lit(0))).withColumn(text, F.col("__q_left"))
 
 
 def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count_into: str | None = None) -> DataFrame:
@@ -237,11 +219,11 @@ def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Up to ``SHIPPED`` hashes of lines go to the tasks, which drop in one pass; beyond it documents are joined.
     """
-    parsed, dropped = recurring_hashes(docs, doc_id, text)
+    dropped = recurring_hashes(docs, doc_id, text)
     shipped, count = _shipped(dropped), count_into or "__q_count"
     if shipped is not None:
         out = _drop_shipped(docs, shipped, text, count)
     else:
-        found = parsed.join(dropped, "line_hash", "left_semi").select("doc_id", "text_hash", "line_no").distinct()
+        found = parse(docs, doc_id, text).join(dropped, "line_hash", "left_semi").select("doc_id", "text_hash", "line_no").distinct()
         out = _drop_joined(docs, found, doc_id, text, count)
     return out.select(*[f"`{c}`" for c in docs.columns if c != count_into], *([count_into] if count_into else []))
