@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from .mixing import SHARE, WEIGHTS
-from .quality_rules import FENCE, GAMMA, MIN_ROWS, RULES, ZERO_BUCKET
+from .quality_rules import GAMMA, PRIOR_ROWS, RULES
 from .sharding import LAW, OVERHEAD, SHARDS, TOLERANCE
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
@@ -52,9 +54,13 @@ select doc_id, size, crc as text_crc32, '{LAW}' as law, shard, row_number() over
 from d join placed using (k1, k2) left join crcs on crcs.h = d.m
 """
 
-_RATIO = {"symbols": "n_symbols / n_words", "dup_lines": "n_dup_lines / n_lines", "repeats": "n_repeat_words / n_words", "word_length": "word_chars / n_words"}
 _BREAKS = r"'[\x20\x09-\x0D]'"
 
+def _double(expression: str) -> str:
+    """Decimal literals of a Spark expression as DuckDB writes them."""
+    return re.sub(r"([0-9.]+)D", r"cast(\1 as double)", expression)
+
+
 OP4 = rf"""
 with t as (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as text from documents),
 w as (select r, doc_id, lang, source, text, {_WORDS} as words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
@@ -65,18 +71,20 @@ m as (select w.r, doc_id, lang, source, cast(len(words) as bigint) as n_words, c
   cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
   cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, cast(len(lines) as bigint) as n_lines from w left join covered using (r)),
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m),
-v as (select r, lang, source, rule, x from b, lateral (values {", ".join(f"('{k}', {e})" for k, e in _RATIO.items())}) as u(rule, x) where n_words > 0),
-k as (select lang, source, rule, case when x > 0 then cast(ceil(ln(x) / ln({GAMMA!r})) as integer) else {ZERO_BUCKET} end as bucket, count(*) as n from v group by all),
+v as (select r, lang, source, rule, cast(ceil(ln(x) / ln({GAMMA!r})) as integer) as bucket
+  from b, lateral (values {", ".join(f"('{k}', {_double(e)})" for k, (e, _, _) in RULES.items())}) as u(rule, x) where n_words > 0),
+k as (select lang, source, rule, bucket, count(*) as n from v group by all),
 levels as (select 2 as depth, lang, source, rule, bucket, n from k union all select 1, lang, null, rule, bucket, sum(n) from k group by lang, rule, bucket union all select 0, null, null, rule, bucket, sum(n) from k group by rule, bucket),
-sums as (select *, sum(n) over (partition by depth, lang, source, rule order by bucket) as up_to, sum(n) over (partition by depth, lang, source, rule) as total,
-  case when bucket = {ZERO_BUCKET} then 0 else 2 * power({GAMMA!r}, bucket) / ({GAMMA!r} + 1) end as x from levels),
-q as (select depth, lang, source, rule, max(total) as total, min(case when 4 * up_to >= total then x end) as q1, min(case when 4 * up_to >= 3 * total then x end) as q3 from sums group by depth, lang, source, rule),
-f as (select depth, lang, source, rule, total, case rule {" ".join(f"when '{k}' then {'q1 - ' if s == 'both' else ''}{('greatest(' + repr(FENCE) + ' * (q3 - q1), ' + repr(d) + ')') if s == 'both' else '-1e300'}" for k, (_, s, d) in RULES.items())} end as low,
-  q3 + greatest({FENCE!r} * (q3 - q1), case rule {" ".join(f"when '{k}' then {d!r}" for k, (_, _, d) in RULES.items())} end) as high from q),
-limits as (select o.lang, o.source, o.rule, case when o.total >= {MIN_ROWS} then o.low when l.total >= {MIN_ROWS} then l.low else a.low end as low,
-  case when o.total >= {MIN_ROWS} then o.high when l.total >= {MIN_ROWS} then l.high else a.high end as high
-  from (select * from f where depth = 2) o join (select * from f where depth = 1) l on o.lang is not distinct from l.lang and o.rule = l.rule join (select * from f where depth = 0) a on o.rule = a.rule),
-outside as (select distinct v.r from v join limits l on v.lang is not distinct from l.lang and v.source is not distinct from l.source and v.rule = l.rule where not v.x between l.low and l.high)
+sums as (select *, sum(n) over (partition by depth, lang, source, rule order by bucket) as up_to, sum(n) over (partition by depth, lang, source, rule) as total from levels),
+q as (select depth, lang, source, rule, cast(max(total) as double) as n, cast(min(case when 4 * up_to >= total then bucket end) as double) as q1, cast(min(case when 4 * up_to >= 3 * total then bucket end) as double) as q3
+  from sums group by depth, lang, source, rule),
+wide as (select l.lang, l.rule, (l.n * l.q1 + {float(PRIOR_ROWS)!r}::double * a.q1) / (l.n + {float(PRIOR_ROWS)!r}::double) as q1, (l.n * l.q3 + {float(PRIOR_ROWS)!r}::double * a.q3) / (l.n + {float(PRIOR_ROWS)!r}::double) as q3
+  from q l join q a on l.rule = a.rule where l.depth = 1 and a.depth = 0),
+drawn as (select o.lang, o.source, o.rule, (o.n * o.q1 + {float(PRIOR_ROWS)!r}::double * w.q1) / (o.n + {float(PRIOR_ROWS)!r}::double) as q1, (o.n * o.q3 + {float(PRIOR_ROWS)!r}::double * w.q3) / (o.n + {float(PRIOR_ROWS)!r}::double) as q3,
+  case o.rule {" ".join(f"when '{k}' then {f!r}::double" for k, (_, _, f) in RULES.items())} end as width
+  from q o join wide w on o.lang is not distinct from w.lang and o.rule = w.rule where o.depth = 2),
+limits as (select lang, source, rule, case when rule in ({", ".join(f"'{k}'" for k, (_, side, _) in RULES.items() if side == "both")}) then q1 - width * (q3 - q1) else -1e300 end as low, q3 + width * (q3 - q1) as high from drawn),
+outside as (select distinct v.r from v join limits l on v.lang is not distinct from l.lang and v.source is not distinct from l.source and v.rule = l.rule where not v.bucket between l.low and l.high)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and r not in (select r from outside) as kept from b
 """
 

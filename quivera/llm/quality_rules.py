@@ -2,12 +2,18 @@
 
 Every document is measured over its whole text. The measures of a (language, source) group go into mergeable
 quantile sketches: logarithmic buckets of a fixed relative width (``ACCURACY``), kept as one row a bucket, so
-that partial aggregation merges them before any exchange and a hot group never meets in one task. From a
-group's quartiles come Tukey fences; a document outside the fence of its own group fails. Groups of fewer than
-``min_rows`` documents use the sketch merged over their language, or over everything.
+that partial aggregation merges them before any exchange and a hot group never meets in one task. Measures are ratios
+or odds with half a count added, so that a text without a symbol still has a place by its length and a group's spread
+is never zero for want of symbols.
+
+From a group's quartiles, in buckets (that is on a logarithmic scale), come Tukey fences: no fence has a constant part. The
+quartiles of a group are drawn towards those of its language, and those of a language towards all, with the weight of
+``PRIOR_ROWS`` rows, so small groups need no switch to another sketch. A document outside a fence of its own group fails.
 
 Defined results: a null or empty text has no words and fails the base rule; null languages and sources are
-groups of their own; repeated rows are measured alike; input columns named like a new one are replaced.
+groups of their own; very long texts are measured whole; a measure on a fence (a tie) is inside; repeated rows are
+measured alike and count each; an empty table gives no thresholds and no rows; input columns named like a new one are
+replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ import math
 from itertools import count
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,19 +39,16 @@ MEASURES = {n: T.LongType() for n in ("n_words", "word_chars", "n_symbols", "n_d
 #: Relative accuracy of a sketch, and so the ratio of neighbouring bucket bounds.
 ACCURACY = 0.01
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
-#: The bucket of a measure of zero.
-ZERO_BUCKET = -100_000
 
-#: Rule: (measure as a SQL expression, sides fenced, least distance of a fence from its quartile).
+#: Rule: (measure as a SQL expression over decimals, sides fenced, width of the fence in interquartile ranges).
 RULES = {
-    "symbols": ("try_divide(n_symbols, n_words)", "high", 0.3),
-    "dup_lines": ("try_divide(n_dup_lines, n_lines)", "high", 0.5),
-    "repeats": ("try_divide(n_repeat_words, n_words)", "high", 0.2),
-    "word_length": ("try_divide(word_chars, n_words)", "both", 4.0),
+    "symbols": ("(n_symbols + 0.5D) / (n_words + 1)", "high", 3.0),
+    "dup_lines": ("(n_dup_lines + 0.5D) / (n_lines - n_dup_lines + 0.5D)", "high", 1.25),
+    "repeats": ("(n_repeat_words + 0.5D) / (n_words - n_repeat_words + 0.5D)", "high", 2.5),
+    "word_length": ("(word_chars + 100D) / (n_words + 20)", "both", 4.0),
 }
-#: Width of a fence in interquartile ranges, and the least rows of a group with a sketch of its own.
-FENCE = 5.0
-MIN_ROWS = 30
+#: Rows that the wider group's quartiles weigh.
+PRIOR_ROWS = 50
 #: Thresholds of up to this many groups are broadcast; beyond it the join is an exchange.
 BROADCAST_GROUPS = 50_000
 
@@ -96,13 +99,13 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     )
 
 
-def _bucket(value: str) -> Column:
-    return F.expr(f"case when {value} > 0 then cast(ceil(ln({value}) / {math.log(GAMMA)!r}) as int) else {ZERO_BUCKET} end")
+def _bucket(value: str) -> str:
+    return f"cast(ceil(ln({value}) / {math.log(GAMMA)!r}D) as int)"
 
 
 def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """Sketch buckets (lang, source, rule, bucket, n) of the documents with words."""
-    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), _bucket(e).alias("bucket")) for r, (e, _, _) in RULES.items()])
+    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.expr(_bucket(e)).alias("bucket")) for r, (e, _, _) in RULES.items()])
     return (
         measured.where("n_words > 0")
         .select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(pairs).alias("p"))
@@ -111,52 +114,38 @@ def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") ->
     )
 
 
-def thresholds(sketch: DataFrame, fence: float = FENCE, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Low and high fences, one row per (lang, source) with a map from rule to each fence.
+def _quartiles(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, rule, total, first and third quartile as buckets) of the sketches merged by ``keys``."""
+    part = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
+    spread = "partition by " + ", ".join([*keys, "rule"])
+    sums = part.selectExpr("*", f"sum(n) over ({spread} order by bucket) as up_to", f"sum(n) over ({spread}) as total")
+    return sums.groupBy(*[F.col(k).alias(f"{k}_{name}") for k in keys], F.col("rule").alias(f"rule_{name}")).agg(
+        F.max("total").cast("double").alias(f"n_{name}"),
+        F.expr("min(case when 4 * up_to >= total then bucket end)").cast("double").alias(f"q1_{name}"),
+        F.expr("min(case when 4 * up_to >= 3 * total then bucket end)").cast("double").alias(f"q3_{name}"),
+    )
+
+
+def thresholds(sketch: DataFrame, rules: dict = RULES, prior_rows: float = PRIOR_ROWS) -> DataFrame:
+    """Low and high fences in buckets, one row per (lang, source) with columns <rule>_low and <rule>_high.
 
     Works on sketch buckets only: their number follows groups and accuracy, not documents.
     """
-    levels = {2: ["lang", "source"], 1: ["lang"], 0: []}
-    merged = None
-    for depth, keys in levels.items():  # the sketches of wider groups are merges of the narrower ones
-        part = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
-        for name in ("lang", "source"):
-            if name not in keys:
-                part = part.withColumn(name, F.lit(None).cast("string"))
-        part = part.select(F.lit(depth).alias("depth"), "lang", "source", "rule", "bucket", "n")
-        merged = part if merged is None else merged.unionByName(part)
-    spread = "partition by depth, lang, source, rule"
-    value = f"case when bucket = {ZERO_BUCKET} then 0D else 2 * power({GAMMA!r}, bucket) / ({GAMMA!r} + 1) end"
-    quartiles = (
-        merged.selectExpr("*", f"sum(n) over ({spread} order by bucket) as up_to", f"sum(n) over ({spread}) as total")
-        .groupBy("depth", "lang", "source", "rule")
-        .agg(
-            F.max("total").alias("total"),
-            F.expr(f"min(case when 4 * up_to >= total then {value} end)").alias("q1"),
-            F.expr(f"min(case when 4 * up_to >= 3 * total then {value} end)").alias("q3"),
-        )
+    own, by_lang, overall = _quartiles(sketch, ["lang", "source"], "own"), _quartiles(sketch, ["lang"], "lang"), _quartiles(sketch, [], "all")
+    joined = own.join(by_lang, F.col("lang_own").eqNullSafe(F.col("lang_lang")) & (F.col("rule_own") == F.col("rule_lang"))).join(
+        overall, F.col("rule_own") == F.col("rule_all")
     )
-    slack = F.create_map(*[F.lit(x) for r, (_, _, s) in RULES.items() for x in (r, s)])[F.col("rule")]
-    reach = F.greatest(F.lit(float(fence)) * (F.col("q3") - F.col("q1")), slack)
-    sides = F.create_map(*[F.lit(x) for r, (_, s, _) in RULES.items() for x in (r, s)])[F.col("rule")]
-    fences = quartiles.select(
-        "depth", "lang", "source", "rule", "total",
-        F.when(sides == "both", F.col("q1") - reach).otherwise(F.lit(float("-inf"))).alias("low"),
-        (F.col("q3") + reach).alias("high"),
+    w = f"{float(prior_rows)!r}D"
+    drawn = joined.selectExpr("*", *[f"(n_lang * {q}_lang + {w} * {q}_all) / (n_lang + {w}) as {q}_wide" for q in ("q1", "q3")])
+    drawn = drawn.selectExpr("*", *[f"(n_own * {q}_own + {w} * {q}_wide) / (n_own + {w}) as {q}" for q in ("q1", "q3")])
+    width = "case rule_own " + " ".join(f"when '{r}' then {f!r}D" for r, (_, _, f) in rules.items()) + " end"
+    both = ", ".join(f"'{r}'" for r, (_, s, _) in rules.items() if s == "both")
+    fences = drawn.selectExpr(
+        "lang_own as lang", "source_own as source", "rule_own as rule",
+        f"case when rule_own in ({both}) then q1 - {width} * (q3 - q1) else double('-infinity') end as low",
+        f"q3 + {width} * (q3 - q1) as high",
     )
-    own = fences.where("depth = 2").drop("depth")
-    by_lang = fences.where("depth = 1").selectExpr("lang as l1", "rule as r1", "total as n1", "low as low1", "high as high1")
-    overall = fences.where("depth = 0").selectExpr("rule as r0", "low as low0", "high as high0")
-    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l1")) & (F.col("rule") == F.col("r1")), "left").join(
-        overall, F.col("rule") == F.col("r0"), "left"
-    )
-    pick = lambda side: F.expr(f"case when total >= {min_rows} then {side} when n1 >= {min_rows} then {side}1 else {side}0 end")
-    return (
-        joined.select("lang", "source", "rule", pick("low").alias("low"), pick("high").alias("high"))
-        .groupBy("lang", "source")
-        .pivot("rule", list(RULES))
-        .agg(F.first("low").alias("low"), F.first("high").alias("high"))
-    )
+    return fences.groupBy("lang", "source").pivot("rule", list(rules)).agg(F.first("low").alias("low"), F.first("high").alias("high"))
 
 
 def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -169,6 +158,6 @@ def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: st
     if limits.count() <= BROADCAST_GROUPS:
         small = F.broadcast(small)
     on = F.col(lang).eqNullSafe(F.col("__q_lang")) & F.col(source).eqNullSafe(F.col("__q_source"))
-    inside = " and ".join(f"{e} between __q_{r}_low and __q_{r}_high" for r, (e, _, _) in RULES.items())
+    inside = " and ".join(f"{_bucket(e)} between __q_{r}_low and __q_{r}_high" for r, (e, _, _) in RULES.items())
     verdict = F.expr(f"not base_failed and coalesce({inside}, false)")
     return measured.join(small, on, "left").withColumn("kept", verdict).drop("__q_lang", "__q_source", *[f"__q_{f}" for f in fences])
