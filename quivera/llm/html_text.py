@@ -3,28 +3,31 @@
 A tree builder reads a page with the implied start and end tags of HTML, and a renderer lays the tree out:
 blocks stand on lines of their own, with a blank line around those that have a margin; list items carry
 bullets or numbers and are indented by depth; table cells are padded to the widths of their columns;
-preformatted text keeps its lines. Invisible elements (by tag, ``hidden``, ``display`` or ``visibility``,
-closed details and dialogs) give nothing.
+preformatted text keeps its lines; margins collapse, also through blocks without one. Invisible elements (by tag,
+``hidden``, ``display`` or ``visibility``, closed details and dialogs) give nothing; buttons made by ``input`` show their
+value. Neither the builder nor the renderer recurses, so elements may nest to any depth, and finding an open element
+takes no search through those in between.
 
 Defined results: a null page gives a null text, an empty page an empty one; broken markup never fails (stray
-end tags are ignored, open elements end with their parent, elements nested deeper than ``MAX_DEPTH`` become
-siblings there); pages of any length are read whole; rows repeated give equal texts; input columns named like
-a new one are replaced.
+end tags are ignored, open elements end with their parent); pages of any length and depth are read whole; where the
+padding of a table would be over ``PADDING`` times its text, columns are padded less and longer cells go on beyond
+their column, without loss of text; an empty table of pages gives an empty one; rows repeated give equal texts; input
+columns named like a new one are replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Generator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import map_texts
 
-MAX_DEPTH = 400
-#: Widest padding of a table column; longer cells go on beyond it.
-MAX_CELL = 60
+#: A table may be padded to this many times its text (and a page of 64 KB besides).
+PADDING = 16
 
 # HTML element names by their treatment.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +49,8 @@ LISTS = frozenset("ul ol menu dir".split())
 ROW_GROUPS = frozenset("thead tbody tfoot".split())
 CELLS = frozenset("td th".split())
 PREFORMATTED = frozenset("pre listing plaintext xmp textarea".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BUTTONS = frozenset("submit reset button".split())
 
 #: New tag: (open elements that it ends, elements that such an ending does not reach beyond).
 IMPLIED_ENDS = {
@@ -94,12 +99,17 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
+_PARAGRAPH = frozenset({"p"})
+
+
 class TreeBuilder:
     """Builds a tree from tags; what HTML implies is opened and closed on the way."""
 
     def __init__(self) -> None:
         self.root = Element("html")
         self.open = [self.root]
+        #: Where in ``open`` the elements of a tag are.
+        self.places: dict[str, list[int]] = {"html": [0]}
 
     def build(self, page: str) -> Element:
         at, end = 0, len(page)
@@ -121,28 +131,31 @@ class TreeBuilder:
                     if tag not in INVISIBLE and raw:
                         self.open[-1].children.append(html.unescape(raw) if tag == "textarea" else raw)
                     at = close.end() if close else end
-                    self.open.pop()
+                    self._end_from(len(self.open) - 1)
         return self.root
 
     def text(self, data: str) -> None:
-        top = self.open[-1]
-        if top.tag == "head" and data.strip():
-            self.open.pop()
-            top = self.open[-1]
-        top.children.append(data)
+        if self.open[-1].tag == "head" and data.strip():
+            self._end_from(len(self.open) - 1)
+        self.open[-1].children.append(data)
+
+    def _end_from(self, at: int) -> None:
+        """End the open elements from this place on."""
+        while len(self.open) > at:
+            self.places[self.open.pop().tag].pop()
+
+    def _last(self, tags: frozenset[str]) -> int:
+        """Where the innermost open element of these tags is, or -1."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
 
     def _end_back_to(self, tags: frozenset[str], stops: frozenset[str]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in tags:
-                del self.open[k:]
-                return
-            if self.open[k].tag in stops:
-                return
+        at = self._last(tags)
+        if at > 0 and at >= self._last(stops):
+            self._end_from(at)
 
     def _push(self, element: Element) -> None:
-        if len(self.open) >= MAX_DEPTH:
-            self.open.pop()
         self.open[-1].children.append(element)
+        self.places.setdefault(element.tag, []).append(len(self.open))
         self.open.append(element)
 
     def start(self, tag: str, attrs: dict[str, str], closed: bool) -> None:
@@ -150,13 +163,13 @@ class TreeBuilder:
             self.root.attrs = attrs | self.root.attrs
             return
         if self.open[-1].tag == "head" and tag not in IN_HEAD:
-            self.open.pop()
-        if tag in ENDS_PARAGRAPH:
-            self._end_back_to(frozenset({"p"}), SCOPES | {"button"})
+            self._end_from(len(self.open) - 1)
+        if tag in ENDS_PARAGRAPH and self.places.get("p"):
+            self._end_back_to(_PARAGRAPH, SCOPES | {"button"})
         if tag in IMPLIED_ENDS:
             self._end_back_to(*IMPLIED_ENDS[tag])
-        if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", self.open[-1].tag):
-            self.open.pop()
+        if tag in HEADINGS and self.open[-1].tag in HEADINGS:
+            self._end_from(len(self.open) - 1)
         if tag in CELLS and self.open[-1].tag in ROW_GROUPS | {"table"}:
             self._push(Element("tr"))
         element = Element(tag, attrs)
@@ -165,19 +178,20 @@ class TreeBuilder:
         else:
             self._push(element)
             if closed and tag in ("svg", "math"):
-                self.open.pop()
+                self._end_from(len(self.open) - 1)
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self.open[-1].children.append(Element("br"))
             return
-        stops = SCOPES - {tag} if tag not in ("table", "body", "html") else frozenset({"html"})
+        if not self.places.get(tag) or tag in ("html", "body"):
+            return
+        stops = SCOPES - {tag} if tag != "table" else frozenset({"html"})
         if tag in ROW_GROUPS | {"tr"}:
             stops = frozenset({"table", "html"})
         if tag == "li":
             stops = stops | LISTS
-        if tag not in ("html", "body"):
-            self._end_back_to(frozenset({tag}), stops)
+        self._end_back_to(frozenset({tag}), stops)
 
 
 def _hidden(e: Element) -> bool:
@@ -217,9 +231,13 @@ class _Lines:
             self.margin = False
             self.lines.append(line)
 
-    def block(self, lines: list[str], margin: bool) -> None:
+    def edge(self, margin: bool) -> None:
+        """Where a block begins or ends."""
         self.flush()
         self.margin |= margin
+
+    def block(self, lines: list[str], margin: bool) -> None:
+        self.edge(margin)
         if lines:
             if self.margin and self.lines:
                 self.lines.append("")
@@ -235,13 +253,32 @@ class _Lines:
             self.inline.append(text)
 
 
+Step = Generator["Step", object, object]
+
+
+def _run(step: Step):
+    """Run a generator whose yields are calls of others, on a stack of our own instead of Python's."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
 class Renderer:
+    """Lays a tree out. The methods that yield are steps of ``_run``: ``x = yield self.block(...)`` is a call."""
+
     def render(self, root: Element) -> str:
-        return "\n".join(self.block(root, True))
+        return "\n".join(_run(self.block(root, True)))
 
-    def block(self, e: Element, visible: bool, depth: int = 0) -> list[str]:
+    def block(self, e: Element, visible: bool) -> Step:
+        """Lines of an element laid out by itself."""
         out = _Lines()
-        self.children(e, out, self._visible(e, visible), False, depth)
+        yield self.children(e, out, self._visible(e, visible), False)
         out.flush()
         return out.lines
 
@@ -251,7 +288,7 @@ class Renderer:
             return m[1].lower() == "visible" or m[1].lower() == "inherit" and inherited
         return inherited
 
-    def children(self, e: Element, out: _Lines, visible: bool, pre: bool, depth: int) -> None:
+    def children(self, e: Element, out: _Lines, visible: bool, pre: bool) -> Step:
         shut = e.tag == "details" and "open" not in e.attrs
         ordinal = None
         if e.tag == "ol":
@@ -268,100 +305,116 @@ class Renderer:
                 continue
             if _hidden(c) or shut and c.tag != "summary":
                 continue
-            seen = self._visible(c, visible)
-            if c.tag == "br":
+            seen, tag = self._visible(c, visible), c.tag
+            if tag == "br":
                 out.inline.append("\n")
-            elif c.tag == "hr":
+            elif tag == "hr":
                 out.block([], True)
-            elif c.tag == "img":
+            elif tag == "input":
+                if seen and c.attrs.get("type", "").strip().lower() in BUTTONS:
+                    out.word(c.attrs.get("value", ""))
+            elif tag == "img":
                 continue
-            elif c.tag == "table":
-                out.block(self.table(c, seen, depth), True)
-            elif c.tag == "li":
-                ordinal = self.item(c, out, seen, e.tag, ordinal, "reversed" in e.attrs, depth)
-            elif c.tag in PREFORMATTED:
+            elif tag == "table":
+                out.block((yield self.table(c, seen)), True)
+            elif tag == "li":
+                ordinal = yield self.item(c, out, visible, ordinal, "reversed" in e.attrs)
+            elif tag in PREFORMATTED:
                 inner = _Lines()
-                self.children(c, inner, seen, True, depth)
+                yield self.children(c, inner, seen, True)
                 text = "".join(inner.inline).replace("\x00", " ")
                 lines = inner.lines + [x.rstrip() for x in text.removeprefix("\n").rstrip("\n ").split("\n")]
                 out.block(lines if any(lines) else [], True)
-            elif c.tag in LISTS:
-                inner = self.block(c, visible, depth + 1)
-                out.block(inner, e.tag != "li")
-            elif c.tag == "dd" or c.tag == "blockquote":
-                out.block(["  " + x if x else x for x in self.block(c, visible, depth)], c.tag in MARGIN)
-            elif c.tag in BLOCK:
-                out.block(self.block(c, visible, depth), c.tag in MARGIN)
+            elif tag in LISTS:
+                out.block((yield self.block(c, visible)), e.tag != "li")
+            elif tag in ("dd", "blockquote"):
+                lines = yield self.block(c, visible)
+                out.block(["  " + x if x else x for x in lines], tag in MARGIN)
+            elif tag in BLOCK:  # in the same lines: nothing is copied, however deep blocks nest
+                out.edge(tag in MARGIN)
+                yield self.children(c, out, seen, pre)
+                out.edge(tag in MARGIN)
             else:
-                self.children(c, out, seen, pre, depth)
+                yield self.children(c, out, seen, pre)
 
-    def item(self, e: Element, out: _Lines, visible: bool, parent: str, ordinal: int | None, down: bool, depth: int) -> int | None:
+    def item(self, e: Element, out: _Lines, visible: bool, ordinal: int | None, down: bool) -> Step:
+        """Lay out an item of a list; returns the next item's number."""
         if ordinal is not None:
             ordinal = _number(e.attrs.get("value"), ordinal)
         mark = f"{ordinal}. " if ordinal is not None else "- "
-        lines = self.block(e, visible, depth)
+        lines = yield self.block(e, visible)
         if lines:
             pad = " " * len(mark)
             out.block([mark + lines[0], *(pad + x if x else x for x in lines[1:])], False)
         return None if ordinal is None else ordinal - 1 if down else ordinal + 1
 
-    def table(self, e: Element, visible: bool, depth: int) -> list[str]:
+    def table(self, e: Element, visible: bool) -> Step:
         """Rows of cells, each padded to its column; cells that span rows or columns hold their place."""
         before: list[str] = []
-        groups: dict[str, list[list[Element]]] = {"thead": [], "tbody": [], "tfoot": []}
-
-        def rows_of(parent: Element, group: str, seen: bool) -> None:
-            for c in parent.children:
-                if isinstance(c, str) and seen and c.strip():
+        groups: dict[str, list[list[tuple[Element, bool]]]] = {"thead": [], "tbody": [], "tfoot": []}
+        parts = [(c, "tbody", visible) for c in reversed(e.children)]
+        while parts:
+            c, group, seen = parts.pop()
+            if isinstance(c, str):
+                if seen and c.strip():
                     before.append(_SPACE.sub(" ", c).strip())
-                if isinstance(c, str) or _hidden(c):
-                    continue
-                if c.tag == "tr":
-                    groups[group].append([(x, self._visible(c, seen)) for x in c.children if isinstance(x, Element) and x.tag in CELLS and not _hidden(x)])
-                    loose = Element("div")
-                    loose.children = [x for x in c.children if not (isinstance(x, Element) and x.tag in CELLS)]
-                    before.extend(self.block(loose, seen, depth))
-                elif c.tag in ROW_GROUPS:
-                    rows_of(c, c.tag, self._visible(c, seen))
-                elif c.tag != "colgroup":
-                    holder = Element("div")
-                    holder.children = [c]
-                    before.extend(self.block(holder, seen, depth))
-
-        rows_of(e, "tbody", visible)
-        rows = [r for g in groups.values() for r in g]
-        grid: list[dict[int, tuple[list[str], int]]] = []
-        spans: dict[int, int] = {}
-        for row in rows:
-            placed, column = {}, 0
+            elif _hidden(c) or c.tag == "colgroup":
+                continue
+            elif c.tag in ROW_GROUPS:
+                parts += [(x, c.tag, self._visible(c, seen)) for x in reversed(c.children)]
+            elif c.tag == "tr":
+                in_row = self._visible(c, seen)
+                groups[group].append([(x, in_row) for x in c.children if isinstance(x, Element) and x.tag in CELLS and not _hidden(x)])
+                loose = Element("div")
+                loose.children = [x for x in c.children if not (isinstance(x, Element) and x.tag in CELLS)]
+                before += yield self.block(loose, in_row)
+            else:
+                holder = Element("div")
+                holder.children = [c]
+                before += yield self.block(holder, seen)
+        grid: list[list[tuple[int, list[str], int]]] = []
+        spans: list[tuple[int, int, int]] = []  # columns that cells of earlier rows hold: (first, end, rows left)
+        for row in (r for g in groups.values() for r in g):
+            placed, held, column, k = [], [], 0, 0
             for cell, seen in row:
-                while spans.get(column, 0) > 0:
-                    column += 1
+                while k < len(spans) and spans[k][0] <= column:
+                    column = max(column, spans[k][1])
+                    k += 1
                 wide = min(max(1, _number(cell.attrs.get("colspan"), 1)), 1000)
                 high = min(max(1, _number(cell.attrs.get("rowspan"), 1)), 65534)
-                placed[column] = (self.block(cell, seen, depth), wide)
-                for k in range(column, column + wide):
-                    spans[k] = max(spans.get(k, 0), high)
+                placed.append((column, (yield self.block(cell, seen)), wide))
+                if high > 1:
+                    held.append((column, column + wide, high - 1))
                 column += wide
-            spans = {k: n - 1 for k, n in spans.items() if n > 1}
+            spans = sorted([*((a, b, n - 1) for a, b, n in spans if n > 1), *held])
             grid.append(placed)
-        widths: dict[int, int] = {}
-        for placed in grid:
-            for column, (lines, wide) in placed.items():
+        return [x for x in [*before, *self._aligned(grid)] if x.strip()]
+
+    @staticmethod
+    def _aligned(grid: list[list[tuple[int, list[str], int]]]) -> list[str]:
+        widths = {column: 0 for row in grid for column, _, _ in row}
+        for row in grid:
+            for column, lines, wide in row:
                 if wide == 1:
-                    widths[column] = max(widths.get(column, 0), min(MAX_CELL, max(map(len, lines), default=0)))
-        out = list(before)
-        for placed in grid:
-            for k in range(max((len(lines) for lines, _ in placed.values()), default=0)):
-                line, at = "", 0
-                for column in sorted(placed):
-                    lines, _ = placed[column]
-                    start = sum(widths.get(c, 0) + 2 for c in range(column))
-                    text = lines[k] if k < len(lines) else ""
-                    if text:
-                        line = (line.ljust(start) if len(line) < start or not line else line + "  ") + text
+                    widths[column] = max(widths[column], max(map(len, lines), default=0))
+        size = sum(len(x) for row in grid for _, lines, _ in row for x in lines)
+        height = sum(max((len(lines) for _, lines, _ in row), default=0) for row in grid)
+        while height * sum(widths.values()) > PADDING * size + 65536 and max(widths.values()) > 8:
+            most = max(widths.values()) // 2
+            widths = {c: min(w, most) for c, w in widths.items()}
+        starts, at = {}, 0
+        for column in sorted(widths):
+            starts[column] = at
+            at += widths[column] + 2
+        out = []
+        for row in grid:
+            for k in range(max((len(lines) for _, lines, _ in row), default=0)):
+                line = ""
+                for column, lines, _ in row:
+                    if k < len(lines) and lines[k]:
+                        line = (line.ljust(starts[column]) if len(line) < starts[column] or not line else line + "  ") + lines[k]
                 out.append(line.rstrip())
-        return [x for x in out if x.strip()]
+        return out
 
 
 def render(page: str | None) -> str | None:
