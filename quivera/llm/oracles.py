@@ -6,7 +6,7 @@ import re
 
 from .mixing import SHARE, WEIGHTS
 from .quality_rules import GAMMA, PRIOR_ROWS, RULES
-from .sharding import LAW, OVERHEAD, SHARDS, TOLERANCE
+from .sharding import HEAVY, LAW, OVERHEAD, SHARDS
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
@@ -46,11 +46,22 @@ with {_CRC},
 d as (select doc_id, cast(coalesce(strlen(text), 0) + {OVERHEAD} as bigint) as size, md5(text) as m, case when text is null then 0 else {_hash60("text")} end as k1,
   {_hash60("coalesce(cast(doc_id as varchar), '')")} as k2 from documents),
 total as (select cast(sum(size) as hugeint) as t from d),
-texts as (select k1, cast(sum(size) as hugeint) as g, cast(sum(sum(size)) over (order by k1) - sum(size) as hugeint) as below from d group by k1),
-rows_ as (select k1, k2, cast(sum(size) as hugeint) as z, cast(sum(sum(size)) over (order by k1, k2) - sum(size) as hugeint) as below from d group by k1, k2),
-placed as (select r.k1, r.k2, cast(least({SHARDS - 1}, case when x.g > {TOLERANCE} * t / {SHARDS} then ((2 * r.below + r.z) * {SHARDS}) // (2 * t) else ((2 * x.below + x.g) * {SHARDS}) // (2 * t) end) as integer) as shard
-  from rows_ r join texts x using (k1) cross join total)
-select doc_id, size, crc as text_crc32, '{LAW}' as law, shard, row_number() over (partition by shard order by k1, k2, doc_id) - 1 as slot, cast(null as integer) as grown_shard
+by_text as (select k1, cast(sum(size) as hugeint) as g from d group by k1),
+heavy as (select k1, g, row_number() over (order by g desc, k1) - 1 as rank from by_text cross join total where g * {SHARDS} > {HEAVY} * t and g * {SHARDS} <= t),
+dealt as (select k1, g, rank, case when rank % {2 * SHARDS} < {SHARDS} then rank % {2 * SHARDS} else {2 * SHARDS - 1} - rank % {2 * SHARDS} end as shard from heavy),
+own as (select s.shard, cast(coalesce(sum(g), 0) as hugeint) as h from (select range as shard from range({SHARDS})) s left join dealt d on d.shard = s.shard group by s.shard),
+rest as (select t - (select sum(h) from own) as w from total),
+levels as (select row_number() over (order by h, shard) as k, h, (w + sum(h) over (order by h, shard) + row_number() over (order by h, shard) - 1) // row_number() over (order by h, shard) as level,
+  lead(h) over (order by h, shard) as next_h from own cross join rest),
+level as (select arg_min(level, k) as l from levels where next_h is null or level <= next_h),
+bounds as (select shard, sum(greatest(0, l - h)) over (order by shard) as upper_ from own cross join level),
+light as (select k1, k2, size from d anti join heavy using (k1)),
+texts as (select k1, cast(sum(size) as hugeint) as g, cast(sum(sum(size)) over (order by k1) - sum(size) as hugeint) as below from light group by k1),
+rows_ as (select k1, k2, cast(sum(size) as hugeint) as z, cast(sum(sum(size)) over (order by k1, k2) - sum(size) as hugeint) as below from light group by k1, k2),
+middles as (select r.k1, r.k2, case when x.g * {SHARDS} > t then 2 * r.below + r.z else 2 * x.below + x.g end as m from rows_ r join texts x using (k1) cross join total),
+placed as (select k1, k2, -1 as rank, cast((select count(*) from bounds where shard < {SHARDS - 1} and 2 * upper_ <= m) as integer) as shard from middles
+  union all select distinct d.k1, d.k2, rank, cast(shard as integer) from d join dealt on d.k1 = dealt.k1)
+select doc_id, size, crc as text_crc32, '{LAW}' as law, shard, row_number() over (partition by shard order by rank, k1, k2, doc_id) - 1 as slot, cast(null as integer) as grown_shard
 from d join placed using (k1, k2) left join crcs on crcs.h = d.m
 """
 

@@ -1,19 +1,22 @@
-"""Sharding into shards of near-equal bytes by histogram sort.
-
-Documents are ordered by a hash of their text, then by a hash of their id, so that equal texts are neighbours.
-The splitters of that order are found without sorting: exact bytes below candidate boundaries are counted
-across all partitions, and only the intervals that still hold a wanted splitter get finer candidates, until
-each holds one text (a group of copies up to ``tolerance`` of a shard is not cut) or, within larger groups of
-copies, one id. Every shard is cut into ``ranges`` ranges by the same splitters; documents are then exchanged
-once, by range, and numbered there, so that no task gets more than a range. DataFrame operations only.
-
-Law: ``bytes``. Defined results: a null text has size 16 and no CRC (null); rows repeated with one id and text
-stay together; an empty table gives an empty result.
+"""Sharding into shards of near-equal bytes by histogram sort, with equal texts together.
+
+Groups of equal texts between ``HEAVY`` of a mean shard and a whole one are few (their number follows shards, not the
+table); they are dealt whole, the largest first, forth and back over the shards. Everything else is ordered by a hash of
+its text, then by a hash of its id, so that equal texts are neighbours, and each shard takes from that order what it
+lacks to the common level. The splitters of the order are found without sorting: exact bytes below candidate
+boundaries are counted across all partitions, and only the intervals that still hold a wanted splitter get finer
+candidates, until each holds one text or, within a group of copies larger than a shard, one id. A smaller group is not
+cut: it goes to the side that its middle is on. Every shard is cut into ``ranges`` ranges in the same way; documents are then
+exchanged once, by range, and numbered there, so that no task gets more than a range. DataFrame operations only.
+
+Law: ``bytes``. Equal texts share a shard unless they alone are larger than a mean shard. Defined results: a null text
+has size 16 and no CRC (null), and all null texts are one group; an empty text is one like any other; rows repeated
+with one id and text stay together; an empty table gives an empty result; input columns beyond id and text are not used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash60, write_table
@@ -21,11 +24,11 @@ from .common import hash60, write_table
 SHARDS = 40
 #: Bytes that a document counts besides its text.
 OVERHEAD = 16
-#: Ranges a shard is numbered in; more of them mean smaller tasks.
+#: Ranges a shard is numbered in (a power of two); more of them mean smaller tasks.
 RANGES = 8
-#: A group of equal texts of up to this part of a mean shard is kept in one shard.
-TOLERANCE = 0.002
-HASH_BITS, LEVEL_BITS = 60, 12
+#: A group of equal texts above this part of a mean shard is dealt by itself: SHARDS / HEAVY groups at most.
+HEAVY = 0.002
+HASH_BITS, LEVEL_BITS, DIGIT_BITS = 60, 12, 8
 LAW = "bytes"
 
 
@@ -41,104 +44,144 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     )
 
 
-Wanted = dict[int, list[tuple[int, int]]]
+def _values(spark, rows: list[tuple[int, ...]], names: str) -> DataFrame:
+    """A small table of whole numbers, as part of the plan."""
+    return spark.sql("select * from values " + ",".join("(" + ",".join(f"{x}L" for x in r) + ")" for r in rows) + f" as t({names})")
+
+
+#: (splitter, group, twice its position in bytes from the group's start)
+Wanted = list[tuple[int, int, int]]
+#: splitter -> (group, key, bytes of the group below the key, bytes of the key)
 Found = dict[int, tuple[int, int, int, int]]
 
 
 def _locate(rows: DataFrame, wanted: Wanted) -> Found:
-    """For each wanted (splitter, twice its position in bytes) of a group: (group, key, bytes below the key, bytes of the key).
+    """The key that each wanted position falls into. ``rows``: (g, key, size).
 
-    ``rows``: (g, key, size). A level counts the bytes below 2**LEVEL_BITS candidate boundaries in each interval
-    that still holds a wanted splitter. Intervals are fewer than splitters, so what a level brings to the driver
-    has a bound that does not follow the table.
+    A level sums the bytes of 2**LEVEL_BITS buckets in each interval that still holds a wanted splitter and picks the
+    bucket of each by running sums, so that one row a splitter comes to the driver.
     """
     spark, found = rows.sparkSession, {}
-    open_ = {(g, 0): (0, js) for g, js in wanted.items()}
+    open_ = [(j, g, 0, twice, 0) for j, g, twice in wanted]  # splitter, group, prefix, twice the position from the interval's start, start
     bits = 0
     while open_:
         bits = min(bits + LEVEL_BITS, HASH_BITS)
-        values = ",".join(f"({g}L, {p}L)" for g, p in open_)
-        intervals = F.broadcast(spark.sql(f"select * from values {values} as t(_g, _p)"))
-        upper = F.shiftright("key", HASH_BITS - bits + min(LEVEL_BITS, bits)) if bits > LEVEL_BITS else F.lit(0).cast("long")
-        counted = (
-            rows.join(intervals, (F.col("g") == F.col("_g")) & (upper == F.col("_p")))
-            .groupBy("g", "_p", F.shiftright("key", HASH_BITS - bits).alias("bucket"))
-            .agg(F.sum("size").alias("size"), F.min("key").alias("first"), F.max("key").alias("last"))
-            .collect()
+        above, width = HASH_BITS - bits, min(LEVEL_BITS, bits)
+        prefix = F.shiftright("key", above + width)
+        intervals = sorted({(g, p) for _, g, p, _, _ in open_})
+        inside = rows.withColumn("p", prefix)
+        if len(intervals) == 1:
+            inside = inside.where((F.col("g") == intervals[0][0]) & (F.col("p") == intervals[0][1]))
+        else:
+            inside = inside.join(F.broadcast(_values(spark, intervals, "g, p")), ["g", "p"])
+        buckets = inside.groupBy("g", "p", F.shiftright("key", above).alias("bucket")).agg(
+            F.sum("size").alias("size"), F.min("key").alias("first"), F.max("key").alias("last")
         )
-        below: dict[tuple[int, int], list] = {}
-        for r in counted:
-            below.setdefault((r["g"], r["_p"]), []).append(r)
-        finer = {}
-        for at, (start, js) in open_.items():
-            buckets = sorted(below[at], key=lambda r: r["bucket"])
-            for k, r in enumerate(buckets):
-                end = start + r["size"]
-                inside = [x for x in js if x[1] < 2 * end or k == len(buckets) - 1]
-                js = js[len(inside) :]
-                if inside and r["first"] == r["last"]:
-                    found |= {j: (at[0], r["first"], start, r["size"]) for j, _ in inside}
-                elif inside:
-                    finer[at[0], r["bucket"]] = (start, inside)
-                start = end
-        open_ = finer
+        order = Window.partitionBy("g", "p").orderBy("bucket")
+        sums = buckets.withColumn("up_to", F.sum("size").over(order)).withColumn("is_last", F.lead("bucket").over(order).isNull())
+        asked = _values(spark, open_, "j, g, p, twice, start")
+        hit = sums.join(F.broadcast(asked), ["g", "p"]).where("2 * up_to > twice or is_last")
+        hit = hit.groupBy("j", "g", "twice", "start").agg(F.min_by(F.struct("bucket", "size", "up_to", "first", "last"), "bucket").alias("b")).collect()
+        open_ = []
+        for r in hit:
+            below = r["b"]["up_to"] - r["b"]["size"]
+            if r["b"]["first"] == r["b"]["last"]:
+                found[r["j"]] = (r["g"], r["b"]["first"], r["start"] + below, r["b"]["size"])
+            else:
+                open_.append((r["j"], r["g"], r["b"]["bucket"], r["twice"] - 2 * below, r["start"] + below))
     return found
 
 
-def splitters(keys: DataFrame, parts: int, tolerance: float = TOLERANCE, shards: int = SHARDS) -> list[tuple[int, int]]:
-    """``parts`` - 1 ascending keys (k1, k2): a document's part is the number of splitters up to its own key."""
-    total = keys.agg(F.sum("size")).first()[0]
-    if not total:
+def splitters(keys: DataFrame, positions: list[int], whole: float) -> list[tuple[int, int]]:
+    """An ascending key (k1, k2) for each position in bytes: a document's part is the number of keys up to its own.
+
+    A group of equal texts of up to ``whole`` bytes is not cut.
+    """
+    place = {j: 2 * p for j, p in enumerate(positions)}
+    if not place:
         return []
-    place = {j: 2 * j * total // parts + bool(2 * j * total % parts) for j in range(1, parts)}
-    texts = _locate(keys.select(F.lit(0).cast("long").alias("g"), F.col("k1").alias("key"), "size"), {0: sorted(place.items())})
-    cut, large = {}, {}
+    texts = _locate(keys.select(F.lit(0).cast("long").alias("g"), F.col("k1").alias("key"), "size"), [(j, 0, t) for j, t in place.items()])
+    cut, large = {}, []
     for j, (_, k1, start, size) in texts.items():
-        if size > tolerance * total / shards:
-            large.setdefault(k1, []).append((j, place[j] - 2 * start))
+        if size > whole:
+            large.append((j, k1, place[j] - 2 * start))
         else:
             cut[j] = (k1, 0) if 2 * start + size >= place[j] else (k1 + 1, 0)
     if large:
-        ids = keys.where(F.col("k1").isin(list(large))).select(F.col("k1").alias("g"), F.col("k2").alias("key"), "size")
-        for j, (k1, k2, start, size) in _locate(ids, {g: sorted(js) for g, js in large.items()}).items():
-            cut[j] = (k1, k2) if 2 * start + size >= dict(large[k1])[j] else (k1, k2 + 1)
+        ids = keys.where(F.col("k1").isin(sorted({k1 for _, k1, _ in large}))).select(F.col("k1").alias("g"), F.col("k2").alias("key"), "size")
+        twice = {j: t for j, _, t in large}
+        for j, (k1, k2, start, size) in _locate(ids, large).items():
+            cut[j] = (k1, k2) if 2 * start + size >= twice[j] else (k1, k2 + 1)
     return [cut[j] for j in sorted(cut)]
 
 
 def _ranged(keys: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
     """``keys`` with ``_range``, the number of cuts up to a row's key.
 
-    A join with one row per range and leading digit of k1 that it covers: 2**LEVEL_BITS + parts rows at most.
+    A join with one row per range and leading digit of k1 that it covers: 2**DIGIT_BITS + ranges rows at most.
     """
     ends = [(0, 0), *cuts, (1 << HASH_BITS, 0)]
-    shift = HASH_BITS - LEVEL_BITS
+    shift = HASH_BITS - DIGIT_BITS
     rows = []
     for part, ((lo1, lo2), (hi1, hi2)) in enumerate(zip(ends, ends[1:])):
         if (lo1, lo2) < (hi1, hi2):
-            rows += [(d, part, lo1, lo2, hi1, hi2) for d in range(lo1 >> shift, min((hi1 >> shift) + 1, 1 << LEVEL_BITS))]
-    values = ",".join(f"({d}L, {p}, {a}L, {b}L, {c}L, {e}L)" for d, p, a, b, c, e in rows)
-    table = keys.sparkSession.sql(f"select * from values {values} as t(_digit, _range, _lo1, _lo2, _hi1, _hi2)")
+            rows += [(d, part, lo1, lo2, hi1, hi2) for d in range(lo1 >> shift, min((hi1 >> shift) + 1, 1 << DIGIT_BITS))]
+    table = _values(keys.sparkSession, rows, "_digit, _range, _lo1, _lo2, _hi1, _hi2")
     inside = F.expr("(k1 > _lo1 or k1 = _lo1 and k2 >= _lo2) and (k1 < _hi1 or k1 = _hi1 and k2 < _hi2)")
     joined = keys.join(F.broadcast(table), (F.shiftright("k1", shift) == F.col("_digit")) & inside)
     return joined.drop("_digit", "_lo1", "_lo2", "_hi1", "_hi2")
 
 
-def shard(keys: DataFrame, shards: int = SHARDS, ranges: int = RANGES, tolerance: float = TOLERANCE) -> DataFrame:
+def heavy_groups(keys: DataFrame, shards: int, heavy: float) -> tuple[DataFrame, int]:
+    """((k1, bytes, rank, shard) of the groups that are dealt by themselves, bytes of all), the former written."""
+    by_text = keys.groupBy("k1").agg(F.sum("size").alias("bytes"))
+    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    found = by_text.where((F.col("bytes") * shards > heavy * total) & (F.col("bytes") * shards <= total))
+    rank = F.row_number().over(Window.orderBy(F.desc("bytes"), "k1")) - 1  # shards / heavy rows at most
+    turn = F.expr(f"rank % {2 * shards}")
+    shard_of = F.when(turn < shards, turn).otherwise(2 * shards - 1 - turn)
+    return write_table(found.withColumn("rank", rank).withColumn("shard", shard_of.cast("long")), "shard-heavy"), total
+
+
+def budgets(heavy: list[int], rest: int) -> list[int]:
+    """What each shard takes of the rest, so that shards below a common level reach it."""
+    rising = sorted(heavy)
+    level, below = 0, 0
+    for k, h in enumerate(rising, 1):
+        below += h
+        level = -(-(rest + below) // k)
+        if k == len(rising) or level <= rising[k]:
+            break
+    return [max(0, level - h) for h in heavy]
+
+
+def shard(keys: DataFrame, shards: int = SHARDS, ranges: int = RANGES, heavy: float = HEAVY) -> DataFrame:
     """``keys`` (a written table of ``keyed``, or one with more columns) with law, shard, slot and grown_shard."""
-    cuts = splitters(keys, shards * ranges, tolerance, shards)
-    ranged = _ranged(keys, cuts)
-    counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}  # one row a range
-    before, rows = [], 0
-    for k in range(shards * ranges):
-        rows = 0 if k % ranges == 0 else rows
-        before.append(rows)
-        rows += counts.get(k, 0)
-    offset = F.element_at(F.expr("array(" + ",".join(f"{n}L" for n in before) + ")"), F.col("_range") + 1)
-    place = F.row_number().over(Window.partitionBy("_range").orderBy("k1", "k2", "doc_id"))
+    groups, total = heavy_groups(keys, shards, heavy)
+    dealt = {r["shard"]: r["b"] for r in groups.groupBy("shard").agg(F.sum("bytes").alias("b")).collect()}  # one row a shard
+    own = [dealt.get(s, 0) for s in range(shards)]
+    positions, at = [], 0
+    for budget in budgets(own, total - sum(own)):
+        positions += [at + budget * r // ranges for r in range(ranges)]
+        at += budget
+    by_itself = groups.select(F.col("k1").alias("_k1"), F.col("rank").alias("_rank"), F.col("shard").alias("_shard"))
+    ours = keys.join(F.broadcast(by_itself), F.col("k1") == F.col("_k1"), "left").drop("_k1")
+    stream = write_table(ours.where("_rank is null").drop("_rank", "_shard"), "shard-stream")
+    cuts = splitters(stream, positions[1:], total / shards) if total > sum(own) else []
+    ranged = _ranged(stream, cuts).selectExpr("*", f"_range div {ranges} as _shard", "-1L as _rank", f"_range % {ranges} as _part")
+    # A heavy group is numbered in parts by the leading bits of its ids' hashes.
+    digits = (ranges - 1).bit_length()
+    whole = ours.where("_rank is not null").select("*", F.shiftright("k2", HASH_BITS - digits).alias("_part"))
+    rows = write_table(ranged.drop("_range").unionByName(whole), "shard-rows")
+    counts = rows.groupBy("_shard", "_rank", "_part").agg(F.count("*").alias("_n"))
+    place = Window.partitionBy("_shard").orderBy("_rank", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_shard", "_rank", "_part", F.coalesce(F.sum("_n").over(place), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_shard", "_rank", "_part").orderBy("k1", "k2", "doc_id"))
     return (
-        ranged.withColumn("slot", place + offset - 1)
-        .withColumn("shard", F.expr(f"cast(_range div {ranges} as int)"))
+        rows.join(F.broadcast(offsets), ["_shard", "_rank", "_part"])
+        .withColumn("slot", number + F.col("_before") - 1)
+        .withColumn("shard", F.col("_shard").cast("int"))
         .withColumn("law", F.lit(LAW))
         .withColumn("grown_shard", F.lit(None).cast("int"))
-        .drop("_range")
+        .drop("_shard", "_rank", "_part", "_before")
     )
