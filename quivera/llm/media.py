@@ -2,16 +2,19 @@
 
 A text's UTF-8 bytes, padded with blanks to a positive multiple of 192, are the samples of an 8-bit greyscale
 PNG, 192 samples wide. Each task appends its images to tar shards in the shared folder, one member per
-distinct content named by the SHA-256 of the stored form, and rows carry that digest with shard, offset and
-length. Readers then take the header bytes alone (``read_headers``) for the metadata columns, or the stored
-bytes (``read_media``) for samples and features. No payload is exchanged between executors: copies in one
-shard share a member, and copies in other shards have their own.
+distinct content of a shard, named by the SHA-256 of the stored form. A second pass over the digests alone points all
+rows of a content at one member, the least (shard, offset) that holds it, so a digest has one address everywhere;
+no payload is exchanged between executors, and a copy that another task wrote first is left unread. Rows carry
+digest, offset and length. ``describe`` reads each distinct member once, in tasks of a bounded number of stored bytes:
+the header bytes alone for the metadata columns (``read_headers``), the stored bytes for samples and features
+(``read_media``).
 
 A shard's name holds the task's partition and is written under an attempt's own name before it is moved into
 place, so a task that runs again leaves the same bytes under the same name.
 
-Defined results: a null text is stored as an empty one; empty texts are one row of blanks; equal texts have
-equal digests and features; input columns named like a new one are replaced.
+Defined results: a null text is stored as an empty one; empty texts are one row of blanks; a very long text is one
+member, however large; equal texts and rows repeated have equal digests, addresses and features; an empty table gives
+an empty one; input columns named like a new one are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TEXT, ensure_importable, shared_path, write_table
+from .common import TEXT, ensure_importable, give_back, shared_path, write_table, written
 
 #: Samples in an image row, the padding byte, the PNG signature.
 WIDTH = 192
@@ -38,11 +41,18 @@ PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature, length and type of the first chunk, its 13 bytes and its CRC.
 HEADER_BYTES = 33
 TAR_BLOCK = 512
-#: A new shard is begun beyond this size.
+#: A new shard is begun beyond this size, and beyond so many members (of which a writer remembers the places).
 SHARD_BYTES = 512 << 20
+SHARD_MEMBERS = 100_000
+#: Stored bytes that a task reads, about; neighbours in a shard of this part of it are read together.
+READ_BYTES = 32 << 20
 COMPRESSION = 6
+#: Places of digests are broadcast up to this number (about 40 MB); beyond it the join is an exchange with salts.
+BROADCAST_PLACES = 200_000
+SALTS = 16
 
 ADDRESS = {"n_bytes": T.LongType(), "media_sha256": T.StringType(), "shard": T.StringType(), "offset": T.LongType(), "media_bytes": T.LongType()}
+MEMBER = ("media_sha256", "shard", "offset", "media_bytes")
 HEADER = {"width": T.IntegerType(), "height": T.IntegerType(), "bit_depth": T.IntegerType(), "color_type": T.IntegerType()}
 CONTENT = {"payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "feature": T.StringType()}
 
@@ -131,7 +141,7 @@ class ShardWriter:
         if key in self.members:
             return self.members[key]
         media = media_of()
-        if self.out is not None and self.at + len(media) > self.shard_bytes:
+        if self.out is not None and (self.at + len(media) > self.shard_bytes or len(self.members) >= SHARD_MEMBERS):
             self.close()
             self.number += 1
         if self.out is None:
@@ -158,7 +168,9 @@ def store_media(docs: DataFrame, text: str = "text", store: str | None = None, k
 
     ``store``: a URI that all executors share; a new folder under the cluster's shared one when None.
     """
-    store = store or shared_path(docs.sparkSession, "media")
+    if store is None:
+        store = shared_path(docs.sparkSession, "media")
+        written.append(store)
     ensure_importable(docs.sparkSession)
     kept = [f for f in docs.schema.fields if (keep is None or f.name in keep) and f.name not in ADDRESS and f.name != text]
     schema = T.StructType(kept + [T.StructField(n, t) for n, t in ADDRESS.items()])
@@ -178,13 +190,31 @@ def store_media(docs: DataFrame, text: str = "text", store: str | None = None, k
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(v, k) for v, k in zip(made, kinds)], names=[*names, *ADDRESS])
         writer.close()
+        give_back()
 
     source = docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").cast("string").alias(TEXT))
-    return write_table(source.mapInArrow(run, schema), "media-rows"), store
+    rows = write_table(source.mapInArrow(run, schema), "media-rows")
+    return _at_one_place(rows), store
+
+
+def _at_one_place(rows: DataFrame) -> DataFrame:
+    """``rows`` with the least place of each digest. Only digests with several places are joined: salted, as one may have
+    most rows, and broadcast where they are few."""
+    place = F.struct("shard", "offset")
+    several = rows.groupBy("media_sha256").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most")
+    several = write_table(several.select(F.col("media_sha256").alias("__q_digest"), "least"), "media-places")
+    if several.count() <= BROADCAST_PLACES:
+        joined = rows.join(F.broadcast(several), F.col("media_sha256") == F.col("__q_digest"), "left")
+    else:
+        salted = several.withColumn("__q_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("shard", "offset"), F.lit(SALTS)).cast("int")
+        joined = rows.join(salted, (F.col("media_sha256") == F.col("__q_digest")) & (salt == F.col("__q_salt")), "left").drop("__q_salt")
+    at = {c: F.coalesce(F.col(f"least.{c}"), F.col(c)).alias(c) for c in ("shard", "offset")}
+    return joined.select(*[at.get(c, F.col(f"`{c}`")) for c in rows.columns])
 
 
 def _read(rows: DataFrame, store: str, columns: dict[str, T.DataType], whole: bool) -> DataFrame:
-    """``rows`` with ``columns`` from a range read of each member; rows of one member read it once in a row."""
+    """``rows`` with ``columns`` from a range read of each member; neighbouring rows of one member read it once."""
     ensure_importable(rows.sparkSession)
     fields = [f for f in rows.schema.fields if f.name not in columns]
     schema = T.StructType(fields + [T.StructField(n, t) for n, t in columns.items()])
@@ -202,7 +232,7 @@ def _read(rows: DataFrame, store: str, columns: dict[str, T.DataType], whole: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _file_system(store)
-        shard, file, seen = None, None, {}
+        shard, file, last, found = None, None, None, None
         for batch in batches:
             made = []
             address = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("shard", "offset", "media_bytes", "media_sha256")]
@@ -210,15 +240,17 @@ def _read(rows: DataFrame, store: str, columns: dict[str, T.DataType], whole: bo
                 if name != shard:
                     if file is not None:
                         file.close()
-                    shard, file, seen = name, fs.open_input_file(f"{root}/{name}"), {}
-                if offset not in seen:
-                    size = length if whole else min(HEADER_BYTES, length)
-                    data = file.read_at(size, offset)
-                    seen[offset] = content(data, digest) if whole else parse_header(data)
-                made.append(seen[offset])
+                    shard, file = name, fs.open_input_file(f"{root}/{name}")
+                if (name, offset) != last:
+                    data = file.read_at(length if whole else min(HEADER_BYTES, length), offset)
+                    last, found = (name, offset), content(data, digest) if whole else parse_header(data)
+                made.append(found)
             values = zip(*made) if made else [[]] * len(kinds)
             kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays(kept + [pa.array(v, k) for v, k in zip(values, kinds)], names=[*names, *columns])
+        if file is not None:
+            file.close()
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -231,3 +263,16 @@ def read_headers(rows: DataFrame, store: str) -> DataFrame:
 def read_media(rows: DataFrame, store: str) -> DataFrame:
     """``rows`` of ``store_media`` with ``CONTENT``, from the stored bytes, checked against their address."""
     return _read(rows, store, CONTENT, whole=True)
+
+
+def describe(rows: DataFrame, store: str) -> DataFrame:
+    """``rows`` of ``store_media`` with ``HEADER`` and ``CONTENT``; each distinct member is read once."""
+    members = rows.select(*MEMBER).distinct()
+    size = rows.agg(F.coalesce(F.sum("media_bytes"), F.lit(0))).first()[0]
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // READ_BYTES))
+    near = (F.col("offset") / (READ_BYTES // 8)).cast("long")
+    members = members.repartition(tasks, F.col("shard"), near).sortWithinPartitions("shard", "offset")
+    found = write_table(read_media(read_headers(members, store), store), "media-members")
+    found = found.select(F.col("media_sha256").alias("__q_digest"), *HEADER, *CONTENT)
+    ours = [F.col(f"`{c}`") for c in rows.columns if c not in HEADER | CONTENT]
+    return rows.select(*ours).join(found, F.col("media_sha256") == F.col("__q_digest")).drop("__q_digest")

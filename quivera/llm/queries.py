@@ -62,8 +62,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns, then the image's size from header-only reads and the member's place."""
     rows, store = media.store_media(_table(spark, sf_dir, "documents"), keep=["doc_id"])
-    whole = media.read_media(media.read_headers(rows, store), store)
-    return whole.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    return media.describe(rows, store).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

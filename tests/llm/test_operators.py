@@ -101,7 +101,7 @@ def test_unigram_is_the_lightest_path():
     for _ in range(200):
         text = "".join(rng.choice("abc ") for _ in range(8)).strip() or "a"
         whole = t.normalise(text)
-        path = t.shortest_path(whole)
+        path = [t.text[i] for i in t.shortest_path(whole)]
         assert "".join(path) == whole and abs(sum(scores[p] for p in path) - best(whole)[0]) < 1e-9
     assert t.encode("xy") == [t.ids["▁"], 0]
 
@@ -482,7 +482,8 @@ def test_simhash_odd_rows(odd, empty):
 
 def test_media_round_trip(spark, documents, texts):
     rows, store = media.store_media(documents, keep=["doc_id"])
-    got = media.read_media(media.read_headers(rows, store), store).orderBy("doc_id").collect()
+    got = media.describe(rows, store).orderBy("doc_id").collect()
+    assert len({r["media_sha256"] for r in got}) == len({(r["shard"], r["offset"]) for r in got}) < len(got)
     members = {}
     folder = store.removeprefix("file://")
     import os
@@ -505,10 +506,19 @@ def test_media_round_trip(spark, documents, texts):
 
 def test_media_odd_rows(odd, empty):
     rows, store = media.store_media(odd)
-    got = media.read_media(rows, store).collect()
-    assert len(got) == 10 and {r["payload_bytes"] for r in got if not r["n_bytes"]} == {192}
+    got = media.describe(rows, store).collect()
+    assert len(got) == 10 == media.read_media(rows, store).count() and {r["payload_bytes"] for r in got if not r["n_bytes"]} == {192}
     rows, store = media.store_media(empty)
-    assert media.read_media(rows, store).count() == 0
+    assert media.describe(rows, store).count() == 0
+
+
+def test_media_places_beyond_broadcast(documents, monkeypatch):
+    """Salted joins give the same addresses."""
+    rows, _ = media.store_media(documents.repartition(3), keep=["doc_id"])
+    want = {tuple(r) for r in rows.collect()}
+    monkeypatch.setattr(media, "BROADCAST_PLACES", 0)
+    stored = media._at_one_place(rows)
+    assert {tuple(r) for r in stored.collect()} == want
 
 
 def test_media_rolls_shards_and_checks_bytes(tmp_path):
