@@ -8,8 +8,9 @@ The fit takes at most ``MAX_FIT_ROWS`` labelled rows (those of the least id hash
 covers every row. Labels, language, source and id are not statistics.
 
 Defined results: null and empty texts have statistics of zero and a score like any other; rows with a null
-label or id are not learnt from, and of several labels of one id the largest counts; with labels of one class
-(or none) every score is that class's share (one half); input columns named like a new one are replaced.
+label or id are not learnt from, of several labels of one id the largest counts, and of several texts of one id the
+least; with labels of one class (or none) every score is that class's share (one half); very long texts are read whole;
+rows repeated score alike; an empty table gives an empty one; input columns named like a new one are replaced.
 """
 
 from __future__ import annotations
@@ -208,8 +209,9 @@ def labelled_sample(labels: DataFrame, label: str, rows: int, per_class: bool =
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_FIT_ROWS) -> Ensemble:
     """Fit on the statistics of at most ``max_rows`` labelled documents; only those reach the driver."""
     sample = F.broadcast(labelled_sample(labels, label, max_rows))  # bounded by max_rows
-    rows = statistics(docs.select("doc_id", "text").join(sample, "doc_id"), keep=["doc_id", "label"])
-    got = rows.dropDuplicates(["doc_id"]).orderBy("doc_id").select("label", *STATISTICS).toArrow()
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(sample, "doc_id")
+    rows = statistics(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")), keep=["doc_id", "label"])
+    got = rows.orderBy("doc_id").select("label", *STATISTICS).toArrow()
     x = np.stack([got.column(n).to_numpy() for n in STATISTICS], axis=1) if got.num_rows else np.zeros((0, len(STATISTICS)))
     return fit(x, got.column("label").to_numpy().astype(np.float64))
 
