@@ -1,27 +1,33 @@
 """SimHash near-duplicates with BK-trees.
 
 Fingerprint: each 4-word shingle's XXH64 votes on 64 bits; a bit is set if over half the shingles have it set.
-Two fingerprints link at ``RADIUS`` or fewer differing bits.
-
-Search: 64 bits are cut into six blocks; at four differing bits two whole blocks are equal, so each linked pair
-meets under one of fifteen pairs of blocks. Fingerprints (distinct ones, copies have been folded) are dealt by
-(pair, block bits), and each such shard gets a BK-tree: a child hangs under its parent by their Hamming
-distance, and a query follows the edges within the radius of its own distance only. All fingerprints together
-have no size bound, so trees are not broadcast whole: a shard's tree is built where its queries are dealt. A
-shard of over ``SHARD_ROWS`` fingerprints is split into slices and every pair of slices becomes a shard of its
-own, so no task gets more than two slices, however hot the group. A shard emits one link per fingerprint that
+Two fingerprints link at ``RADIUS`` or fewer differing bits (``near_duplicates``).
+
+Search: 64 bits are cut into one block more than the radius, so each linked pair has a block in common. Fingerprints
+(distinct ones, copies have been folded) are dealt by block, and each such shard gets a BK-tree: a child hangs under its
+parent by their Hamming distance, and a query follows the edges within the radius of its own distance only. One tree over
+all fingerprints would be visited at a tenth of its nodes by each query (README), so trees are not broadcast
+whole: a shard's tree is built where its queries are dealt. A shard of over ``SHARD_ROWS`` fingerprints is dealt again by
+blocks of its other bits, ``LEVELS`` times at most; what is then still larger agrees in half of all bits, and is cut into
+slices of which every pair is a shard. No task gets more than two slices, however hot the group. A shard emits one link per fingerprint that
 joins an earlier one, not all pairs.
 
+``near_similar`` links by similarity instead: texts whose sets of five-word shingles have a Jaccard similarity of 0.8
+differ in 15 % of the bits, which is too far for blocks. It takes ``BITS`` bits, deals each fingerprint by the bits of
+``TABLES`` samples of ``KEY_BITS`` bits, and a BK-tree a shard finds what differs in ``WIDE_RADIUS`` bits or fewer. Its
+recall is a matter of probability: README has figures.
+
 Components: alternating large-star and small-star steps over link tables in the shared folder.
 
-Defined results: null and empty texts have fingerprint 0 and link like any other; rows repeated share their
-fingerprint and component; a null doc_id is never the smallest of its component unless all are null.
+Defined results: null and empty texts have fingerprint 0 and link like any other; very long texts are read whole; rows
+repeated share their fingerprint and component; a null doc_id is never the smallest of its component unless all are null;
+an empty table gives an empty one; only id and text are used, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,23 +36,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ensure_importable, map_texts, write_table
+from .common import ensure_importable, give_back, map_texts, write_table
 from .components import components
 
 WIDTH = 4
 SEED = 42
 RADIUS = 4
-#: Block widths, from the highest bit.
-BLOCKS = (11, 11, 11, 11, 10, 10)
-SHARD_ROWS = 2048
+SHARD_ROWS = 4096
+LEVELS = 3
+#: The search by similarity: words of a shingle, bits of a fingerprint, differing bits, samples and their bits.
+SIMILAR_WIDTH, BITS, WIDE_RADIUS, TABLES, KEY_BITS = 5, 256, 44, 80, 20
+#: Ids of rows that go are broadcast up to this number (about 24 MB); beyond it the texts are exchanged for the join.
+BROADCAST_IDS = 1_000_000
+#: A hot shard of the search by similarity is dealt again by this many samples of so many further bits.
+FINER, FINER_BITS = 8, 10
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
-    """The 64-bit fingerprint of a text, as an unsigned number."""
+def _votes(bits: np.ndarray) -> np.ndarray:
+    """Column sums of an array of 0 and 1; runs of 255 rows are added in bytes."""
+    whole = len(bits) // 255 * 255
+    runs = bits[:whole].reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8)
+    return runs.sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.int64)
+
+
+def _more(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further 64 bits of each hash."""
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint_words(text: bytes | None, width: int = WIDTH, bits: int = 64) -> np.ndarray:
+    """The fingerprint of a text as ``bits`` / 64 unsigned words."""
     words = (text or b"").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(bits // 64, np.uint64)
     n = max(1, len(words) - width + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
@@ -54,22 +80,37 @@ def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
     stops = (ends[min(width, len(words)) - 1 :] - 1).tolist()
     hash_of = xxhash.xxh64_intdigest
     hashes = np.array([hash_of(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8")
-    votes = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):
-        votes += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
+    made = []
+    for k in range(bits // 64):
+        votes = np.zeros(64, np.int64)
+        for at in range(0, n, 65536):
+            part = hashes[at : at + 65536]
+            votes += _votes(np.unpackbits((_more(part, k) if k else part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        made.append(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
+    return np.array(made, np.uint64)
+
+
+def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
+    """The 64-bit fingerprint of a text, as an unsigned number."""
+    return int(fingerprint_words(text, width)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``fp``: the fingerprint of each whole text as a signed long of the same bits."""
+def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None, width: int = WIDTH, bits: int = 64) -> DataFrame:
+    """``docs`` with the fingerprint of each whole text as signed longs of the same bits: ``fp``, or ``fp0``, ``fp1``... """
+    names = _columns(bits)
 
     def make():
         def work(texts):
-            return [pa.array(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))]
+            made = np.array([fingerprint_words(t, width, bits) for t in texts], np.uint64).reshape(-1, len(names)).view(np.int64)
+            return [pa.array(np.ascontiguousarray(made[:, k])) for k in range(len(names))]
 
         return work
 
-    return map_texts(docs, {"fp": T.LongType()}, make, text, keep)
+    return map_texts(docs, {n: T.LongType() for n in names}, make, text, keep)
+
+
+def _columns(bits: int) -> list[str]:
+    return ["fp"] if bits == 64 else [f"fp{k}" for k in range(bits // 64)]
 
 
 class BKTree:
@@ -106,8 +147,10 @@ class BKTree:
 
 
 def link_shard(own: list[int], other: list[int], radius: int) -> Iterator[tuple[int, int]]:
-    """Links that connect all within ``radius`` in ``own``, or between ``own`` and ``other`` if that is not empty."""
+    """Links (as places in ``own`` + ``other``) that connect all within ``radius`` in ``own``, or between ``own`` and
+    ``other`` if that is not empty."""
     tree, root = BKTree(), {}
+    place = {v: k for k, v in enumerate([*own, *other])}
 
     def find(x: int) -> int:
         while root.setdefault(x, x) != x:
@@ -123,73 +166,183 @@ def link_shard(own: list[int], other: list[int], radius: int) -> Iterator[tuple[
             a, b = find(hit), find(value)
             if a != b:
                 root[max(a, b)] = min(a, b)
-                yield hit, value
+                yield place[hit], place[value]
         if not other:
             tree.add(value)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(a, b): links between the distinct values of ``fps.fp`` whose components are those of all links.
-
-    For ``radius`` up to 4: fewer than five blocks differ then, so two are equal.
-    """
-    if radius > len(BLOCKS) - 2:
-        raise ValueError("the blocks serve a radius of up to 4")
-    ensure_importable(fps.sparkSession)
-    shifts = [sum(BLOCKS[k + 1 :]) for k in range(len(BLOCKS))]
-    block = [F.shiftrightunsigned("fp", s).bitwiseAND((1 << w) - 1) for s, w in zip(shifts, BLOCKS)]
-    keys = [F.shiftleft(F.shiftleft(block[i], 11).bitwiseOR(block[j]), 4).bitwiseOR(F.lit(k)) for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    dealt = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    shards = dealt.groupBy("key").count().where("count > 1").selectExpr("key", f"cast(ceil(count / {shard_rows}) as int) as slices")
-    slice_of = F.pmod(F.xxhash64("fp"), "slices").cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("o")
-    work = (
-        dealt.join(shards, "key")
-        .select("fp", "key", slice_of.alias("s"), other)
-        .selectExpr("key", "least(s, o) as x", "greatest(s, o) as y", "s <= o as first", "fp")
-    )
-    n = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # A row whose slice is both of its shard's comes once; order brings a shard's rows together.
-    work = work.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "fp")
+def _tree_links(work: DataFrame, names: list[str], radius: int) -> DataFrame:
+    """(a, b): links of nodes by a BK-tree for each shard (key, x, y); rows of slice y are searched in those of x."""
+    ensure_importable(work.sparkSession)
+    n = max(1, int(work.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    work = work.select("key", "x", "y", "first", "node", *names)
+    # Order brings a shard's rows together, and makes reruns agree.
+    work = work.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, other = None, [], []
+        at, own, other, nodes = None, [], [], {True: [], False: []}
 
         def flush(pairs):
             if len(own) + len(other) > 1 and (at[1] == at[2] or own and other):
-                pairs.extend(link_shard(own, other, radius))
+                both = nodes[True] + nodes[False]
+                pairs.extend((both[a], both[b]) for a, b in link_shard(own, other, radius))
 
         def batch_of(pairs):
             a, b = zip(*pairs) if pairs else ((), ())
-            signed = [pa.array(np.array(v, dtype=np.uint64).view(np.int64)) for v in (a, b)]
-            return pa.RecordBatch.from_arrays(signed, names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             pairs: list[tuple[int, int]] = []
-            key, x, y = (batch.column(k).to_pylist() for k in range(3))
-            first = batch.column(3).to_pylist()
-            value = batch.column(4).to_numpy().view(np.uint64).tolist()
+            key, x, y, first, node = (batch.column(k).to_pylist() for k in range(5))
+            packed = np.stack([batch.column(5 + k).to_numpy() for k in range(len(names))], axis=1).astype("<i8").tobytes() if batch.num_rows else b""
+            size = 8 * len(names)
             for k in range(len(key)):
                 if (place := (key[k], x[k], y[k])) != at:
                     flush(pairs)
-                    at, own, other = place, [], []
-                (own if first[k] else other).append(value[k])
+                    at, own, other, nodes = place, [], [], {True: [], False: []}
+                (own if first[k] else other).append(int.from_bytes(packed[k * size : (k + 1) * size], "little"))
+                nodes[first[k]].append(node[k])
             yield batch_of(pairs)
         pairs = []
         flush(pairs)
         yield batch_of(pairs)
+        give_back()
 
     found = work.mapInArrow(run, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id): one row per document; component_id is the smallest doc_id reachable by links."""
-    printed = write_table(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), keep=["doc_id"]), "simhash-fps")
-    distinct = write_table(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(write_table(links(distinct.select("fp"), radius), "simhash-links"))
-    in_link = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def _sliced(dealt: DataFrame, large: DataFrame, shard_rows: int) -> DataFrame:
+    """Rows of large shards in every pair of slices that theirs is in."""
+    slices = large.selectExpr("key", f"cast(ceil(count / {shard_rows}) as int) as slices")
+    slice_of = F.pmod(F.xxhash64("node"), "slices").cast("int")
+    rows = dealt.join(slices, "key").select("*", slice_of.alias("s"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("o"))
+    return rows.selectExpr("*", "least(s, o) as x", "greatest(s, o) as y", "s <= o as first").drop("slices", "s", "o")
+
+
+def _searched(start: DataFrame, deal, levels: int, names: list[str], radius: int, shard_rows: int) -> DataFrame:
+    """Links found by trees; ``deal(rows, level)`` gives each row its keys, and large shards are dealt again."""
+    links, open_ = None, start
+    for level in range(levels):
+        dealt = write_table(deal(open_, level), "simhash-dealt")
+        large = write_table(dealt.groupBy("key").count().where(F.col("count") > shard_rows), "simhash-large")
+        hot = not large.isEmpty()
+        whole = dealt.join(large, "key", "left_anti") if hot else dealt
+        work = whole.selectExpr("*", "0 as x", "0 as y", "true as first")
+        if hot and level == levels - 1:
+            work = work.unionByName(_sliced(dealt, large, shard_rows))
+        part = _tree_links(work, names, radius)
+        links = part if links is None else links.unionByName(part)
+        if not hot:
+            break
+        open_ = dealt.join(large.select("key"), "key", "left_semi")
+    return links.distinct()
+
+
+def _blocks(bits: int, n: int) -> list[tuple[int, int]]:
+    """(shift, width) of ``n`` blocks of nearly equal widths."""
+    ends = [bits * k // n for k in range(n + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, levels: int = LEVELS) -> DataFrame:
+    """(a, b): links between the distinct values of ``fps.fp`` whose components are those of all links."""
+
+    def deal(rows: DataFrame, level: int) -> DataFrame:
+        bits = 64
+        for _ in range(level):  # what is left when the widest block is cut out
+            bits -= min(w for _, w in _blocks(bits, radius + 1))
+        made = []
+        for k, (shift, width) in enumerate(_blocks(bits, radius + 1)):
+            rest, mask = F.col("rest"), (1 << width) - 1
+            value = F.shiftrightunsigned(rest, shift).bitwiseAND(mask)
+            above = F.shiftleft(F.shiftrightunsigned(rest, shift + width), shift) if shift + width < 64 else F.lit(0).cast("long")
+            below = rest.bitwiseAND((1 << shift) - 1) if shift else F.lit(0).cast("long")
+            made.append(F.struct(F.xxhash64("key", F.lit(level * 64 + k), value).alias("key"), above.bitwiseOR(below).alias("rest")))
+        return rows.select("fp", "node", F.explode(F.array(*made)).alias("d")).select("fp", "node", "d.key", "d.rest")
+
+    start = fps.selectExpr("fp", "fp as node", "0L as key", "fp as rest")
+    return _searched(start, deal, levels, ["fp"], radius, shard_rows)
+
+
+def _deal_by_samples(rows: DataFrame, names: list[str], samples: list[list[int]]) -> DataFrame:
+    """``rows`` (node, fingerprint, key) under a key for each sample of bits: the old key, the sample and its values."""
+    ensure_importable(rows.sparkSession)
+    schema = "node long, " + ", ".join(f"{n} long" for n in names) + ", key long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        which = np.array(samples)
+        weights = np.left_shift(np.uint64(1), np.arange(which.shape[1], dtype=np.uint64))
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("node", *names)]
+            keys = batch.column(batch.schema.get_field_index("key")).to_numpy().view(np.uint64)
+            packed = np.stack(columns[1:], axis=1).astype("<i8").view(np.uint8).reshape(batch.num_rows, -1)
+            bits = np.unpackbits(packed, axis=1, bitorder="little")
+            dealt = np.empty((batch.num_rows, len(which)), np.uint64)
+            for k, sample in enumerate(which):
+                values = (bits[:, sample].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
+                dealt[:, k] = _more(keys * np.uint64(0xC2B2AE3D27D4EB4F) + values, k + 1)
+            arrays = [np.repeat(c, len(which)) for c in columns] + [dealt.reshape(-1).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["node", *names, "key"])
+        give_back()
+
+    return rows.select("node", *names, "key").mapInArrow(run, schema)
+
+
+def similar_links(fps: DataFrame, bits: int = BITS, radius: int = WIDE_RADIUS, tables: int = TABLES, key_bits: int = KEY_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(a, b): links between the nodes of ``fps`` (node, fp0, fp1...) that differ in ``radius`` bits or fewer and agree in
+    all bits of a sample."""
+    names, rng = _columns(bits), random.Random(SEED)
+    coarse = [rng.sample(range(bits), key_bits) for _ in range(tables)]
+    fine = [rng.sample(range(bits), FINER_BITS) for _ in range(FINER)]
+
+    def deal(rows: DataFrame, level: int) -> DataFrame:
+        return _deal_by_samples(rows, names, fine if level else coarse)
+
+    return _searched(fps.selectExpr("node", *names, "0L as key"), deal, 2, names, radius, shard_rows)
+
+
+def _grouped(printed: DataFrame, names: list[str], link) -> DataFrame:
+    """``printed`` (doc_id, fingerprint, maybe more) with component_id and root: copies are folded, then linked."""
+    node = F.col(names[0]) if len(names) == 1 else F.xxhash64(*names)
+    distinct = write_table(printed.groupBy(node.alias("node"), *names).agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    roots = components(write_table(link(distinct), "simhash-links"))
+    in_link = distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     in_link = write_table(in_link, "simhash-roots")
     smallest = in_link.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = write_table(in_link.join(smallest, "root").select("fp", "component_id"), "simhash-classes")
-    return printed.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_node = write_table(in_link.join(smallest, "root").select("node", "root", "component_id"), "simhash-classes")
+    return printed.withColumn("node", node).join(by_node, "node").select(*printed.columns, "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp, component_id): one row per document; component_id is the smallest doc_id reachable by links."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    printed = write_table(fingerprints(rows, keep=["doc_id"]), "simhash-fps")
+    return _grouped(printed, ["fp"], lambda distinct: links(distinct.select("fp"), radius)).select("doc_id", "fp", "component_id")
+
+
+def near_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SIMILAR_WIDTH, bits: int = BITS, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(doc_id, text_hash, fp0, fp1..., component_id, root), linked by the similarity of sets of ``width``-word shingles."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
+    printed = write_table(fingerprints(rows, keep=["doc_id", "text_hash"], width=width, bits=bits), "simhash-wide")
+    return _grouped(printed, _columns(bits), lambda distinct: similar_links(distinct, bits, radius))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` of each group of ``near_similar``: that of the smallest id (null ids last), then of the least
+    text hash; of rows repeated, one. Texts are not exchanged unless over ``BROADCAST_IDS`` rows go."""
+    grouped = write_table(near_similar(docs, doc_id, text).select("doc_id", "text_hash", "root"), "simhash-groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k")
+    kept = grouped.groupBy("root").agg(first).select("root", F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
+    judged = grouped.join(kept, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")))
+    per_row = judged.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("rows"))
+    odd = write_table(per_row.where("not stays or rows > 1").select(F.col("doc_id").alias("__q_id"), F.col("text_hash").alias("__q_hash"), "stays"), "simhash-dropped")
+    small = F.broadcast(odd) if odd.count() <= BROADCAST_IDS else odd
+    same = F.col(doc_id).eqNullSafe(F.col("__q_id")) & (F.xxhash64(F.col(text)) == F.col("__q_hash"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    alone = docs.join(small, same, "left_anti").select(*columns)
+    repeated = odd.where("stays")
+    if repeated.isEmpty():
+        return alone
+    again = docs.join(F.broadcast(repeated) if odd.count() <= BROADCAST_IDS else repeated, same)
+    return alone.unionByName(again.dropDuplicates(["__q_id", "__q_hash"]).select(*columns))

@@ -446,8 +446,9 @@ def test_links_of_hot_shards(spark):
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     fps = spark.createDataFrame([(signed(v),) for v in values], "fp long")
     want = _classes({v: v for v in values})
-    for shard_rows in (5, 2048):
-        roots = {r["node"]: r["root"] for r in components(write_table(simhash.links(fps, shard_rows=shard_rows), "t")).collect()}
+    for shard_rows, levels in ((5, 1), (5, 3), (20, 2), (4096, 3)):
+        found = simhash.links(fps, shard_rows=shard_rows, levels=levels)
+        roots = {r["node"]: r["root"] for r in components(write_table(found, "t")).collect()}
         groups = {}
         for v in values:
             groups.setdefault(roots.get(signed(v), signed(v)), set()).add(want[v])
