@@ -36,7 +36,8 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     measured = write_table(quality_rules.measure(docs, keep=["doc_id", "lang", "source"]), "quality-measures")
-    limits = write_table(quality_rules.thresholds(quality_rules.sketches(measured)), "quality-limits")
+    sketch = write_table(quality_rules.sketches(measured), "quality-sketches")
+    limits = write_table(quality_rules.thresholds(sketch), "quality-limits")
     judged = quality_rules.judge(measured, limits)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
