@@ -82,8 +82,8 @@ m as (select w.r, doc_id, lang, source, cast(len(words) as bigint) as n_words, c
   cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
   cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, cast(len(lines) as bigint) as n_lines from w left join covered using (r)),
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m),
-v as (select r, lang, source, rule, cast(ceil(ln(x) / ln({GAMMA!r})) as integer) as bucket
-  from b, lateral (values {", ".join(f"('{k}', {_double(e)})" for k, (e, _, _) in RULES.items())}) as u(rule, x) where n_words > 0),
+v as (select r, lang, source, rule, counted, cast(ceil(ln(x) / ln({GAMMA!r})) as integer) as bucket
+  from b, lateral (values {", ".join(f"('{k}', {_double(e)}, {c})" for k, (e, _, _, c) in RULES.items())}) as u(rule, x, counted) where n_words > 0),
 k as (select lang, source, rule, bucket, count(*) as n from v group by all),
 levels as (select 2 as depth, lang, source, rule, bucket, n from k union all select 1, lang, null, rule, bucket, sum(n) from k group by lang, rule, bucket union all select 0, null, null, rule, bucket, sum(n) from k group by rule, bucket),
 sums as (select *, sum(n) over (partition by depth, lang, source, rule order by bucket) as up_to, sum(n) over (partition by depth, lang, source, rule) as total from levels),
@@ -92,10 +92,10 @@ q as (select depth, lang, source, rule, cast(max(total) as double) as n, cast(mi
 wide as (select l.lang, l.rule, (l.n * l.q1 + {float(PRIOR_ROWS)!r}::double * a.q1) / (l.n + {float(PRIOR_ROWS)!r}::double) as q1, (l.n * l.q3 + {float(PRIOR_ROWS)!r}::double * a.q3) / (l.n + {float(PRIOR_ROWS)!r}::double) as q3
   from q l join q a on l.rule = a.rule where l.depth = 1 and a.depth = 0),
 drawn as (select o.lang, o.source, o.rule, (o.n * o.q1 + {float(PRIOR_ROWS)!r}::double * w.q1) / (o.n + {float(PRIOR_ROWS)!r}::double) as q1, (o.n * o.q3 + {float(PRIOR_ROWS)!r}::double * w.q3) / (o.n + {float(PRIOR_ROWS)!r}::double) as q3,
-  case o.rule {" ".join(f"when '{k}' then {f!r}::double" for k, (_, _, f) in RULES.items())} end as width
+  case o.rule {" ".join(f"when '{k}' then {f!r}::double" for k, (_, _, f, _) in RULES.items())} end as width
   from q o join wide w on o.lang is not distinct from w.lang and o.rule = w.rule where o.depth = 2),
-limits as (select lang, source, rule, case when rule in ({", ".join(f"'{k}'" for k, (_, side, _) in RULES.items() if side == "both")}) then q1 - width * (q3 - q1) else -1e300 end as low, q3 + width * (q3 - q1) as high from drawn),
-outside as (select distinct v.r from v join limits l on v.lang is not distinct from l.lang and v.source is not distinct from l.source and v.rule = l.rule where not v.bucket between l.low and l.high)
+limits as (select lang, source, rule, case when rule in ({", ".join(f"'{k}'" for k, (_, side, _, _) in RULES.items() if side == "both")}) then q1 - width * (q3 - q1) else -1e300 end as low, q3 + width * (q3 - q1) as high from drawn),
+outside as (select distinct v.r from v join limits l on v.lang is not distinct from l.lang and v.source is not distinct from l.source and v.rule = l.rule where v.counted > 0 and not v.bucket between l.low and l.high)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and r not in (select r from outside) as kept from b
 """
 

@@ -3,12 +3,13 @@
 Every document is measured over its whole text. The measures of a (language, source) group go into mergeable
 quantile sketches: logarithmic buckets of a fixed relative width (``ACCURACY``), kept as one row a bucket, so
 that partial aggregation merges them before any exchange and a hot group never meets in one task. Measures are ratios
-or odds with half a count added, so that a text without a symbol still has a place by its length and a group's spread
+or odds with a small count added, so that a text without a symbol still has a place by its length and a group's spread
 is never zero for want of symbols.
 
 From a group's quartiles, in buckets (that is on a logarithmic scale), come Tukey fences: no fence has a constant part. The
 quartiles of a group are drawn towards those of its language, and those of a language towards all, with the weight of
-``PRIOR_ROWS`` rows, so small groups need no switch to another sketch. A document outside a fence of its own group fails.
+``PRIOR_ROWS`` rows, so small groups need no switch to another sketch. A document outside a fence of its own group fails,
+unless it has none of what the rule counts.
 
 Defined results: a null or empty text has no words and fails the base rule; null languages and sources are
 groups of their own; very long texts are measured whole; a measure on a fence (a tie) is inside; repeated rows are
@@ -37,15 +38,16 @@ WINDOW = 5
 MEASURES = {n: T.LongType() for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")}
 
 #: Relative accuracy of a sketch, and so the ratio of neighbouring bucket bounds.
-ACCURACY = 0.01
+ACCURACY = 0.002
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
 
-#: Rule: (measure as a SQL expression over decimals, sides fenced, width of the fence in interquartile ranges).
+#: Rule: (measure as a SQL expression over decimals, sides fenced, width of the fence in interquartile ranges, what it
+#: counts: a document with none of it is inside).
 RULES = {
-    "symbols": ("(n_symbols + 0.5D) / (n_words + 1)", "high", 3.0),
-    "dup_lines": ("(n_dup_lines + 0.5D) / (n_lines - n_dup_lines + 0.5D)", "high", 1.25),
-    "repeats": ("(n_repeat_words + 0.5D) / (n_words - n_repeat_words + 0.5D)", "high", 2.5),
-    "word_length": ("(word_chars + 100D) / (n_words + 20)", "both", 4.0),
+    "symbols": ("(n_symbols + 1D) / (n_words + 20)", "high", 3.0, "n_symbols"),
+    "dup_lines": ("(n_dup_lines + 0.5D) / (n_lines - n_dup_lines + 0.5D)", "high", 1.25, "n_dup_lines"),
+    "repeats": ("(n_repeat_words + 0.5D) / (n_words - n_repeat_words + 0.5D)", "high", 2.5, "n_repeat_words"),
+    "word_length": ("(word_chars + 100D) / (n_words + 20)", "both", 4.0, "n_words"),
 }
 #: Rows that the wider group's quartiles weigh.
 PRIOR_ROWS = 50
@@ -105,7 +107,7 @@ def _bucket(value: str) -> str:
 
 def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """Sketch buckets (lang, source, rule, bucket, n) of the documents with words."""
-    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.expr(_bucket(e)).alias("bucket")) for r, (e, _, _) in RULES.items()])
+    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.expr(_bucket(e)).alias("bucket")) for r, (e, *_) in RULES.items()])
     return (
         measured.where("n_words > 0")
         .select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(pairs).alias("p"))
@@ -138,8 +140,8 @@ def thresholds(sketch: DataFrame, rules: dict = RULES, prior_rows: float = PRIOR
     w = f"{float(prior_rows)!r}D"
     drawn = joined.selectExpr("*", *[f"(n_lang * {q}_lang + {w} * {q}_all) / (n_lang + {w}) as {q}_wide" for q in ("q1", "q3")])
     drawn = drawn.selectExpr("*", *[f"(n_own * {q}_own + {w} * {q}_wide) / (n_own + {w}) as {q}" for q in ("q1", "q3")])
-    width = "case rule_own " + " ".join(f"when '{r}' then {f!r}D" for r, (_, _, f) in rules.items()) + " end"
-    both = ", ".join(f"'{r}'" for r, (_, s, _) in rules.items() if s == "both")
+    width = "case rule_own " + " ".join(f"when '{r}' then {f!r}D" for r, (_, _, f, _) in rules.items()) + " end"
+    both = ", ".join(f"'{r}'" for r, (_, s, _, _) in rules.items() if s == "both")
     fences = drawn.selectExpr(
         "lang_own as lang", "source_own as source", "rule_own as rule",
         f"case when rule_own in ({both}) then q1 - {width} * (q3 - q1) else double('-infinity') end as low",
@@ -158,6 +160,6 @@ def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: st
     if limits.count() <= BROADCAST_GROUPS:
         small = F.broadcast(small)
     on = F.col(lang).eqNullSafe(F.col("__q_lang")) & F.col(source).eqNullSafe(F.col("__q_source"))
-    inside = " and ".join(f"{_bucket(e)} between __q_{r}_low and __q_{r}_high" for r, (e, _, _) in RULES.items())
+    inside = " and ".join(f"({count} = 0 or {_bucket(e)} between __q_{r}_low and __q_{r}_high)" for r, (e, _, _, count) in RULES.items())
     verdict = F.expr(f"not base_failed and coalesce({inside}, false)")
     return measured.join(small, on, "left").withColumn("kept", verdict).drop("__q_lang", "__q_source", *[f"__q_{f}" for f in fences])
