@@ -167,7 +167,7 @@ def recurring_hashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         .withColumn("enough", size_of_template)
         .withColumn("constants", constants)
         .where(F.exists("constants", lambda x: x["at"] >= DEPTH))
-        .select("leaf", "line_hash", F.xxhash64("leaf", F.to_json("constants")).alias("template"))
+        .select("leaf", "line_hash", F.xxhash64("leaf", "constants").alias("template"))
     )
     template = write_table(template, "lines-templates")
     texts_of = lines.join(template, ["leaf", "line_hash"]).select("template", "text_hash").distinct()
