@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,71 +171,89 @@ def link_shard(own: list[int], other: list[int], radius: int) -> Iterator[tuple[
             tree.add(value)
 
 
-def _tree_links(work: DataFrame, names: list[str], radius: int) -> DataFrame:
-    """(a, b): links of nodes by a BK-tree for each shard (key, x, y); rows of slice y are searched in those of x."""
+def _tree_links(work: DataFrame, names: list[str], radius: int, shard_rows: int | None) -> DataFrame:
+    """(a, b, large): links of nodes by a BK-tree for each key of ``work`` (key, fingerprint, maybe ``first``); a row with
+    ``large`` alone names a key of over ``shard_rows`` rows, which is left out. Rows whose ``first`` is false are searched
+    in the others only."""
     ensure_importable(work.sparkSession)
     n = max(1, int(work.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    work = work.select("key", "x", "y", "first", "node", *names)
+    split = "first" in work.columns
     # Order brings a shard's rows together, and makes reruns agree.
-    work = work.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
+    work = work.select("key", *names, *(["first"] if split else []))
+    work = work.repartition(n, "key").sortWithinPartitions("key", *names)
+    ends = [f"{side}{k}" for side in "ab" for k in range(len(names))]
+    size = 8 * len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, other, nodes = None, [], [], {True: [], False: []}
+        at, own, other, over = None, [], [], False
 
-        def flush(pairs):
-            if len(own) + len(other) > 1 and (at[1] == at[2] or own and other):
-                both = nodes[True] + nodes[False]
+        def flush(pairs, large):
+            if over:
+                large.append(at)
+            elif len(own) + len(other) > 1 and own:
+                both = own + other
                 pairs.extend((both[a], both[b]) for a, b in link_shard(own, other, radius))
 
-        def batch_of(pairs):
-            a, b = zip(*pairs) if pairs else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        def batch_of(pairs, large):
+            raw = b"".join(v.to_bytes(size, "little") for p in pairs for v in p)
+            words = np.frombuffer(raw, "<i8").reshape(len(pairs), len(ends))
+            none = [None] * len(large)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([*words[:, k].tolist(), *none], pa.int64()) for k in range(len(ends))] + [pa.array([None] * len(pairs) + large, pa.int64())], names=[*ends, "large"]
+            )
 
         for batch in batches:
-            pairs: list[tuple[int, int]] = []
-            key, x, y, first, node = (batch.column(k).to_pylist() for k in range(5))
-            packed = np.stack([batch.column(5 + k).to_numpy() for k in range(len(names))], axis=1).astype("<i8").tobytes() if batch.num_rows else b""
-            size = 8 * len(names)
-            for k in range(len(key)):
-                if (place := (key[k], x[k], y[k])) != at:
-                    flush(pairs)
-                    at, own, other, nodes = place, [], [], {True: [], False: []}
-                (own if first[k] else other).append(int.from_bytes(packed[k * size : (k + 1) * size], "little"))
-                nodes[first[k]].append(node[k])
-            yield batch_of(pairs)
-        pairs = []
-        flush(pairs)
-        yield batch_of(pairs)
+            pairs, large = [], []
+            keys = batch.column(0).to_pylist()
+            first = batch.column(1 + len(names)).to_pylist() if split else None
+            packed = np.stack([batch.column(1 + k).to_numpy() for k in range(len(names))], axis=1).astype("<i8").tobytes() if keys else b""
+            for k, key in enumerate(keys):
+                if key != at:
+                    flush(pairs, large)
+                    at, own, other, over = key, [], [], False
+                if shard_rows is not None and len(own) >= shard_rows:
+                    over = True
+                else:
+                    (own if first is None or first[k] else other).append(int.from_bytes(packed[k * size : (k + 1) * size], "little"))
+            yield batch_of(pairs, large)
+        pairs, large = [], []
+        flush(pairs, large)
+        yield batch_of(pairs, large)
         give_back()
 
-    found = work.mapInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = work.mapInArrow(run, ", ".join(f"{c} long" for c in [*ends, "large"]))
+    a, b = (_node([f"{side}{k}" for k in range(len(names))]) for side in "ab")
+    return found.select(F.when(F.col("a0").isNotNull(), F.least(a, b)).alias("a"), F.when(F.col("a0").isNotNull(), F.greatest(a, b)).alias("b"), "large").distinct()
 
 
-def _sliced(dealt: DataFrame, large: DataFrame, shard_rows: int) -> DataFrame:
-    """Rows of large shards in every pair of slices that theirs is in."""
-    slices = large.selectExpr("key", f"cast(ceil(count / {shard_rows}) as int) as slices")
-    slice_of = F.pmod(F.xxhash64("node"), "slices").cast("int")
-    rows = dealt.join(slices, "key").select("*", slice_of.alias("s"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("o"))
-    return rows.selectExpr("*", "least(s, o) as x", "greatest(s, o) as y", "s <= o as first").drop("slices", "s", "o")
+def _node(names: list[str]) -> Column:
+    """What names a fingerprint in links."""
+    return F.col(names[0]) if len(names) == 1 else F.xxhash64(*names)
+
+
+def _sliced(rows: DataFrame, names: list[str], shard_rows: int) -> DataFrame:
+    """Rows of large shards under a key for every pair of slices that theirs is in."""
+    slices = rows.groupBy("key").agg(F.expr(f"cast(ceil(count(*) / {shard_rows}) as int)").alias("slices"))
+    slice_of = F.pmod(F.xxhash64(*names), "slices").cast("int")
+    both = rows.join(slices, "key").select("key", *names, slice_of.alias("s"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("o"))
+    return both.select(F.xxhash64("key", F.least("s", "o"), F.greatest("s", "o")).alias("key"), *names, (F.col("s") <= F.col("o")).alias("first"))
 
 
 def _searched(start: DataFrame, deal, levels: int, names: list[str], radius: int, shard_rows: int) -> DataFrame:
-    """Links found by trees; ``deal(rows, level)`` gives each row its keys, and large shards are dealt again."""
+    """(a, b) found by trees; ``deal(rows, level)`` gives each row its keys, and rows of large shards are dealt again."""
     links, open_ = None, start
     for level in range(levels):
-        dealt = write_table(deal(open_, level), "simhash-dealt")
-        large = write_table(dealt.groupBy("key").count().where(F.col("count") > shard_rows), "simhash-large")
-        hot = not large.isEmpty()
-        whole = dealt.join(large, "key", "left_anti") if hot else dealt
-        work = whole.selectExpr("*", "0 as x", "0 as y", "true as first")
-        if hot and level == levels - 1:
-            work = work.unionByName(_sliced(dealt, large, shard_rows))
-        part = _tree_links(work, names, radius)
+        found = write_table(_tree_links(deal(open_, level), names, radius, shard_rows), "simhash-found")
+        part, large = found.where("large is null").select("a", "b"), found.where("large is not null").select(F.col("large").alias("key"))
         links = part if links is None else links.unionByName(part)
-        if not hot:
+        if large.isEmpty():
             break
-        open_ = dealt.join(large.select("key"), "key", "left_semi")
+        rows = deal(open_, level).join(large, "key", "left_semi")
+        if level == levels - 1:
+            last = write_table(_tree_links(_sliced(rows, names, shard_rows), names, radius, None), "simhash-found")
+            links = links.unionByName(last.select("a", "b"))
+        else:
+            open_ = write_table(rows, "simhash-open")
     return links.distinct()
 
 
@@ -259,38 +277,38 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, le
             above = F.shiftleft(F.shiftrightunsigned(rest, shift + width), shift) if shift + width < 64 else F.lit(0).cast("long")
             below = rest.bitwiseAND((1 << shift) - 1) if shift else F.lit(0).cast("long")
             made.append(F.struct(F.xxhash64("key", F.lit(level * 64 + k), value).alias("key"), above.bitwiseOR(below).alias("rest")))
-        return rows.select("fp", "node", F.explode(F.array(*made)).alias("d")).select("fp", "node", "d.key", "d.rest")
+        return rows.select("fp", F.explode(F.array(*made)).alias("d")).select("fp", "d.key", "d.rest")
 
-    start = fps.selectExpr("fp", "fp as node", "0L as key", "fp as rest")
+    start = fps.selectExpr("fp", "0L as key", "fp as rest")
     return _searched(start, deal, levels, ["fp"], radius, shard_rows)
 
 
 def _deal_by_samples(rows: DataFrame, names: list[str], samples: list[list[int]]) -> DataFrame:
-    """``rows`` (node, fingerprint, key) under a key for each sample of bits: the old key, the sample and its values."""
+    """``rows`` (fingerprint, key) under a key for each sample of bits: the old key, the sample and its values."""
     ensure_importable(rows.sparkSession)
-    schema = "node long, " + ", ".join(f"{n} long" for n in names) + ", key long"
+    schema = ", ".join(f"{n} long" for n in names) + ", key long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         which = np.array(samples)
         weights = np.left_shift(np.uint64(1), np.arange(which.shape[1], dtype=np.uint64))
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("node", *names)]
+            columns = [batch.column(batch.schema.get_field_index(n)).to_numpy() for n in names]
             keys = batch.column(batch.schema.get_field_index("key")).to_numpy().view(np.uint64)
-            packed = np.stack(columns[1:], axis=1).astype("<i8").view(np.uint8).reshape(batch.num_rows, -1)
+            packed = np.stack(columns, axis=1).astype("<i8").view(np.uint8).reshape(batch.num_rows, -1)
             bits = np.unpackbits(packed, axis=1, bitorder="little")
             dealt = np.empty((batch.num_rows, len(which)), np.uint64)
             for k, sample in enumerate(which):
                 values = (bits[:, sample].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
                 dealt[:, k] = _more(keys * np.uint64(0xC2B2AE3D27D4EB4F) + values, k + 1)
             arrays = [np.repeat(c, len(which)) for c in columns] + [dealt.reshape(-1).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["node", *names, "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=[*names, "key"])
         give_back()
 
-    return rows.select("node", *names, "key").mapInArrow(run, schema)
+    return rows.select(*names, "key").mapInArrow(run, schema)
 
 
 def similar_links(fps: DataFrame, bits: int = BITS, radius: int = WIDE_RADIUS, tables: int = TABLES, key_bits: int = KEY_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(a, b): links between the nodes of ``fps`` (node, fp0, fp1...) that differ in ``radius`` bits or fewer and agree in
+    """(a, b): links between the nodes of ``fps`` (fp0, fp1...) that differ in ``radius`` bits or fewer and agree in
     all bits of a sample."""
     names, rng = _columns(bits), random.Random(SEED)
     coarse = [rng.sample(range(bits), key_bits) for _ in range(tables)]
@@ -299,12 +317,12 @@ def similar_links(fps: DataFrame, bits: int = BITS, radius: int = WIDE_RADIUS, t
     def deal(rows: DataFrame, level: int) -> DataFrame:
         return _deal_by_samples(rows, names, fine if level else coarse)
 
-    return _searched(fps.selectExpr("node", *names, "0L as key"), deal, 2, names, radius, shard_rows)
+    return _searched(fps.selectExpr(*names, "0L as key"), deal, 2, names, radius, shard_rows)
 
 
 def _grouped(printed: DataFrame, names: list[str], link) -> DataFrame:
     """``printed`` (doc_id, fingerprint, maybe more) with component_id and root: copies are folded, then linked."""
-    node = F.col(names[0]) if len(names) == 1 else F.xxhash64(*names)
+    node = _node(names)
     distinct = write_table(printed.groupBy(node.alias("node"), *names).agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(write_table(link(distinct), "simhash-links"))
     in_link = distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
@@ -325,7 +343,7 @@ def near_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     """(doc_id, text_hash, fp0, fp1..., component_id, root), linked by the similarity of sets of ``width``-word shingles."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     printed = write_table(fingerprints(rows, keep=["doc_id", "text_hash"], width=width, bits=bits), "simhash-wide")
-    return _grouped(printed, _columns(bits), lambda distinct: similar_links(distinct, bits, radius))
+    return _grouped(printed, _columns(bits), lambda distinct: similar_links(distinct.select(*_columns(bits)), bits, radius))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
