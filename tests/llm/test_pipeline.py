@@ -9,49 +9,18 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from quivera.llm import pieces, quality_rules
-from tests.llm.test_operators import WORD, _classes, _dropped, _fingerprint, _measures, _targets
+from quivera.llm import pieces
+from tests.llm.test_operators import WORD, _dropped, _fences, _measures, _similar_classes, _targets, _wide
 
 SF = "/root/testdata/sf0.001"
 
 
 def _kept_by_quality(rows):
-    """Fences from quartiles of bucket representatives, group by group."""
-    import math
-
-    def bucket(x):
-        return math.ceil(math.log(x) / math.log(quality_rules.GAMMA)) if x > 0 else quality_rules.ZERO_BUCKET
-
-    def value(b):
-        return 0.0 if b == quality_rules.ZERO_BUCKET else 2 * quality_rules.GAMMA**b / (quality_rules.GAMMA + 1)
-
-    ratios = {}
-    for r in rows:
-        n, chars, symbols, dup, repeat, lines = _measures(r["text"])
-        ok = n >= 10 and 100 * repeat <= 20 * n
-        ratios[r["doc_id"]] = (ok, {"symbols": symbols / n, "dup_lines": dup / lines, "repeats": repeat / n, "word_length": chars / n} if n else None)
-    groups = {}
-    for r in rows:
-        x = ratios[r["doc_id"]][1]
-        if x:
-            for key in ((r["lang"], r["source"]), (r["lang"],), ()):
-                for rule, v in x.items():
-                    groups.setdefault((key, rule), []).append(bucket(v))
-    fences = {}
-    for (key, rule), bs in groups.items():
-        bs.sort()
-        q1, q3 = value(bs[math.ceil(len(bs) / 4) - 1]), value(bs[math.ceil(3 * len(bs) / 4) - 1])
-        _, sides, slack = quality_rules.RULES[rule]
-        reach = max(quality_rules.FENCE * (q3 - q1), slack)
-        fences[key, rule] = (q1 - reach if sides == "both" else -math.inf, q3 + reach, len(bs))
+    outside = _fences(rows)
     kept = []
     for r in rows:
-        ok, x = ratios[r["doc_id"]]
-        for rule, v in (x or {}).items():
-            own, lang, every = (fences[k, rule] for k in ((r["lang"], r["source"]), (r["lang"],), ()))
-            low, high, _ = own if own[2] >= quality_rules.MIN_ROWS else lang if lang[2] >= quality_rules.MIN_ROWS else every
-            ok = ok and low <= v <= high
-        if ok:
+        n, _, _, _, repeat, _ = _measures(r["text"])
+        if n >= 10 and 100 * repeat <= 20 * n and not outside(r["text"], r["lang"], r["source"]):
             kept.append(r)
     return kept
 
@@ -60,8 +29,7 @@ def _without_lines(rows):
     gone = _dropped([(r["doc_id"], r["text"]) for r in rows])
     out = []
     for r in rows:
-        left = "\n".join(x for k, x in enumerate(r["text"].split("\n")) if (r["doc_id"], k) not in gone)
-        text = left if len(left) >= (1 - 0.8) * len(r["text"]) - 1e-9 else r["text"]
+        text = "\n".join(x for k, x in enumerate(r["text"].split("\n")) if (r["doc_id"], k) not in gone)
         out.append({**r, "text": text, "n_chars": len(text)})
     return out
 
@@ -100,7 +68,7 @@ def test_stages(stages):
     docs, good, lines, unique, mixed, encoded = stages
     assert by_id(good) == by_id(_kept_by_quality(docs)) and 0 < len(good) < len(docs)
     assert by_id(lines) == by_id(_without_lines(good))
-    classes = _classes({r["doc_id"]: _fingerprint(r["text"]) for r in lines})
+    classes = _similar_classes({r["doc_id"]: _wide(r["text"]) for r in lines})
     assert by_id(unique) == {i: r for i, r in by_id(lines).items() if classes[i] == i} and len(unique) < len(lines)
     assert Counter(r["doc_id"] for r in mixed) == _mixed(unique)
     assert Counter(r["doc_id"] for r in encoded) == Counter(r["doc_id"] for r in mixed) and all(r["round_trip"] for r in encoded)
