@@ -364,8 +364,11 @@ def test_fences_follow_the_group(spark):
     rng = random.Random(21)
     rows = []
     for k in range(900):
-        rate = 0.9 if k % 60 == 0 else (0.01, 0.5)[k % 2]
-        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) + ("#" * int(rate + 1) if rng.random() < rate else "") for _ in range(rng.randint(60, 90))]
+        rate, symbols = (1.0, 3) if k % 60 == 0 else ((0.01, 0.5)[k % 2], 1)
+        words = []
+        for _ in range(rng.randint(60, 90)):
+            word = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 7)))
+            words.append("#" * symbols + word[symbols:] if rng.random() < rate else word)
         rows.append((k, " ".join(words), "en", "ab"[k % 2]))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     measured = write_table(quality_rules.measure(docs), "t")
