@@ -139,9 +139,46 @@ def _corners(value: Column) -> Column:
     return F.when(value["type"] == "Box", F.array(corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1))).otherwise(c)
 
 
+def _edges(shape: Geoshape) -> list[tuple[tuple[float, float], tuple[float, float]]]:
+    """The edges of a constant line, polygon or box (one that does not cross the date line)."""
+    ring = list(shape.coords)
+    if shape.type == "Box":
+        (s, w), (n, e) = shape.coords
+        ring = [(s, w), (s, e), (n, e), (n, w), (s, w)]
+    return list(zip(ring, ring[1:])) if shape.type in ("Line", "Polygon", "Box") else []
+
+
+def _crossings(value: Column, shape: Geoshape, touching: bool) -> Column:
+    """Whether an edge of the value crosses one of the constant shape; ``touching``: or meets it."""
+    c = value["coords"]
+    corner = lambda a, b: F.struct(c[a]["lat"].alias("lat"), c[b]["lon"].alias("lon"))
+    ring = F.when(value["type"] == "Box", F.array(corner(0, 0), corner(0, 1), corner(1, 1), corner(1, 0), corner(0, 0))).when(value["type"].isin("Line", "Polygon"), c)
+    edges = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+    def turn(a_lat, a_lon, b_lat, b_lon, p_lat, p_lon):
+        return (b_lat - a_lat) * (p_lon - a_lon) - (b_lon - a_lon) * (p_lat - a_lat)
+
+    def meets(e: Column) -> Column:
+        found = F.lit(False)
+        for (a1, b1), (a2, b2) in _edges(shape):
+            (p, q), (s, t) = (e["p"], e["q"]), ((F.lit(a1), F.lit(b1)), (F.lit(a2), F.lit(b2)))
+            d1, d2 = turn(*s, *t, p["lat"], p["lon"]), turn(*s, *t, q["lat"], q["lon"])
+            d3, d4 = turn(p["lat"], p["lon"], q["lat"], q["lon"], *s), turn(p["lat"], p["lon"], q["lat"], q["lon"], *t)
+            if touching:  # on either side or on the line, and the boxes of the edges overlap
+                over = (F.least(p["lat"], q["lat"]) <= max(a1, a2)) & (F.greatest(p["lat"], q["lat"]) >= min(a1, a2)) & (F.least(p["lon"], q["lon"]) <= max(b1, b2)) & (F.greatest(p["lon"], q["lon"]) >= min(b1, b2))
+                found = found | ((d1 * d2 <= 0) & (d3 * d4 <= 0) & over)
+            else:
+                found = found | ((d1 * d2 < 0) & (d3 * d4 < 0))
+        return found
+
+    return F.coalesce(F.exists(edges, meets), F.lit(False)) if _edges(shape) else F.lit(False)
+
+
 def within(value: Column, shape: Geoshape) -> Column:
-    """The value lies inside the constant shape."""
+    """The value lies inside the constant shape: its corners do, and no edge of it leaves a polygon between them."""
     inside = F.forall(_corners(value), lambda c: _point_in(c["lat"], c["lon"], shape))
+    if shape.type == "Polygon":
+        inside = inside & ~_crossings(value, shape, False)
     if shape.type == "Circle":
         lat, lon = shape.coords[0]
         centre = value["coords"][0]
@@ -157,7 +194,7 @@ def within(value: Column, shape: Geoshape) -> Column:
 
 
 def contains(value: Column, shape: Geoshape) -> Column:
-    """The value covers all vertices of the constant shape (and its whole circle)."""
+    """The value covers all vertices of the constant shape (and its whole circle), and no edge of it leaves a polygon."""
     c, kind = value["coords"], value["type"]
     points = shape.coords
     if shape.type == "Box":
@@ -179,7 +216,7 @@ def contains(value: Column, shape: Geoshape) -> Column:
     return (
         F.when(kind == "Circle", all_of(in_circle))
         .when(kind == "Box", all_of(in_box))
-        .when(kind == "Polygon", all_of([in_polygon(a, b) for a, b in points]))
+        .when(kind == "Polygon", all_of([in_polygon(a, b) for a, b in points]) & ~_crossings(value, shape, False))
         .otherwise(all_of(same) if shape.radius_km == 0 else F.lit(False))
     )
 
@@ -188,6 +225,7 @@ def intersects(value: Column, shape: Geoshape) -> Column:
     """The shapes share a point."""
     c, kind = value["coords"], value["type"]
     touches = F.exists(_corners(value), lambda p: _point_in(p["lat"], p["lon"], shape)) | F.coalesce(contains(value, Geoshape("Point", shape.coords[:1])), F.lit(False))
+    touches = touches | _crossings(value, shape, True)
     if shape.type in ("Circle", "Point"):
         lat, lon = shape.coords[0]
         near = lambda a, b: distance_km(a, b, F.lit(lat), F.lit(lon))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import Graph
@@ -16,6 +16,15 @@ def assign_ids(rows: DataFrame, keys: list[str], bits: int = 62) -> DataFrame:
     return rows.withColumn("id", F.shiftrightunsigned(F.xxhash64(*keys), 64 - bits))
 
 
+def with_edge_ids(label: str, rows: DataFrame) -> DataFrame:
+    """Edge ``rows`` with an ``id`` that tells parallel edges apart, also those alike in all properties."""
+    more = [F.col(f"`{c}`") for c in rows.columns if c not in ("src", "dst")]
+    key = F.xxhash64(F.lit(0), *more)
+    number = F.row_number().over(Window.partitionBy("src", "dst", "_h").orderBy("_h"))
+    keyed = rows.withColumn("_h", key).withColumn("_n", number)
+    return keyed.withColumn("id", F.concat_ws("-", F.lit(label), F.col("src").cast("string"), F.col("dst").cast("string"), F.hex("_h"), F.col("_n").cast("string"))).drop("_h", "_n")
+
+
 def add_vertices(graph: Graph, label: str, rows: DataFrame) -> Graph:
     """Vertices whose id exists already are not added again."""
     old = graph.vertex_tables.get(label)
@@ -56,15 +65,17 @@ def merge_edges(graph: Graph, label: str, rows: DataFrame) -> Graph:
     return graph.with_edges(label, old.unionByName(fresh, allowMissingColumns=True))
 
 
-def set_property(graph: Graph, label: str, key: str, values: DataFrame, cardinality: str = "SINGLE") -> Graph:
-    """Set ``key`` from (id, value): SINGLE replaces, LIST appends, SET appends what is new."""
+def set_property(graph: Graph, label: str, key: str, values: DataFrame, cardinality: str = "SINGLE", order: str | None = None) -> Graph:
+    """Set ``key`` from (id, value): SINGLE replaces (of several values the one last in the column ``order``, else the
+    greatest), LIST appends (in ``order``, else by value), SET appends what is new."""
     old = graph.vertex_tables[label]
-    per_vertex = values.groupBy("id").agg(F.collect_list("value").alias("_values"))
-    joined = old.join(per_vertex, "id", "left")
     if cardinality == "SINGLE":
-        last = F.element_at("_values", -1)
-        column = F.coalesce(last, F.col(key)) if key in old.columns else last
+        last = values.groupBy("id").agg((F.max_by("value", order) if order else F.max("value")).alias("_values"))
+        joined = old.join(last, "id", "left")
+        column = F.coalesce(F.col("_values"), F.col(key)) if key in old.columns else F.col("_values")
     else:
+        members = F.sort_array(F.collect_list(F.struct(F.col(order or "value").alias("o"), F.col("value").alias("v"))))
+        joined = old.join(values.groupBy("id").agg(members.getField("v").alias("_values")), "id", "left")
         before = F.coalesce(F.col(key), F.array()) if key in old.columns else F.array()
         after = F.coalesce(F.col("_values"), F.array())
         column = F.concat(before, after) if cardinality == "LIST" else F.array_distinct(F.concat(before, after))
@@ -90,7 +101,7 @@ def drop_edges(graph: Graph, ids: DataFrame) -> Graph:
     gone = ids.withColumnRenamed("id", "_gone")
     tables = {}
     for x, t in graph.edge_tables.items():
-        keyed = t.withColumn("_key", F.col("id").cast("string") if "id" in t.columns else F.concat_ws("-", F.lit(x), F.col("src").cast("string"), F.col("dst").cast("string")))
+        keyed = t.withColumn("_key", graph.edge_id(x))
         tables[x] = keyed.join(gone, F.col("_key") == F.col("_gone"), "left_anti").drop("_key")
     return replace(graph, edge_tables=tables)
 

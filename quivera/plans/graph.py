@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .schema import GraphSchema
@@ -47,6 +47,8 @@ class Graph:
     def edges(self, labels: tuple[str, ...] | None = None, properties: bool = True) -> DataFrame:
         """(id, label, src, dst, properties); with ``properties`` false, src and dst alone."""
         chosen = [x for x in (labels or self.edge_tables) if x in self.edge_tables]
+        if not self.edge_tables:
+            return self.spark.createDataFrame([], "id string, label string, src long, dst long").select(*(["*"] if properties else ["src", "dst"]))
         if not chosen:
             return self.edges().limit(0).select(*([] if properties else ["src", "dst"]) or ["*"])
         if not properties:
@@ -55,8 +57,19 @@ class Graph:
 
     def _edge_table(self, label: str) -> DataFrame:
         df = self.edge_tables[label]
-        own = F.col("id").cast("string") if "id" in df.columns else F.concat_ws("-", F.lit(label), F.col("src").cast("string"), F.col("dst").cast("string"))
-        return df.select(own.alias("id"), F.lit(label).alias("label"), "src", "dst", *self._properties(df, EDGE_COLUMNS))
+        return df.select(self.edge_id(label).alias("id"), F.lit(label).alias("label"), "src", "dst", *self._properties(df, EDGE_COLUMNS))
+
+    def edge_id(self, label: str) -> Column:
+        """An edge's id: the table's own, else its label and ends, and where a label allows parallel edges also a hash of
+        its properties (edges alike in all of them need ids of their own: ``mutations.with_edge_ids``)."""
+        df = self.edge_tables[label]
+        if "id" in df.columns:
+            return F.col("id").cast("string")
+        parts = [F.lit(label), F.col("src").cast("string"), F.col("dst").cast("string")]
+        rule, properties = self.schema.edge_labels.get(label), self._properties(df, EDGE_COLUMNS)
+        if properties and (rule is None or rule.multiplicity == "MULTI"):
+            parts.append(F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in properties])))
+        return F.concat_ws("-", *parts)
 
     @staticmethod
     def _properties(df: DataFrame, reserved: tuple[str, ...]) -> list[str]:

@@ -116,7 +116,7 @@ class VertexQuery:
         self.side = "both"
         self.conditions: list[tuple[str, P]] = []
         self.near: list | None = None
-        self.order: tuple[str, str] | None = None
+        self.orders: list[tuple[str, str]] = []
         self.size: int | None = None
 
     def labels(self, *names: str) -> "VertexQuery":
@@ -145,9 +145,10 @@ class VertexQuery:
         return self.has(key, Pr.between(start, end))
 
     def orderBy(self, key: str, order: str = "asc") -> "VertexQuery":
-        if self.order is not None and self.order[1] != order:
+        """Orders the relations of each vertex; further keys decide between equals of the earlier ones."""
+        if any(o != order for _, o in self.orders):
             raise ValueError("the orders of a vertex query have one direction")
-        self.order = (key, order)
+        self.orders.append((key, order))
         return self
 
     def limit(self, n: int) -> "VertexQuery":
@@ -169,14 +170,11 @@ class VertexQuery:
             df = df.where(holds(p, F.col(f"`{key}`") if key in df.columns else F.lit(None).cast("string"), kind))
         if self.near is not None:
             df = df.where(F.col("other").isin(self.near))
+        keys = [F.col(k).desc_nulls_last() if o == "desc" else F.col(k).asc_nulls_last() for k, o in self.orders] + [F.col("id")]
         if self.size is not None:
-            keys = [F.col("id")]
-            if self.order:
-                c = F.col(self.order[0])
-                keys = [c.desc_nulls_last() if self.order[1] == "desc" else c.asc_nulls_last(), *keys]
             w = Window.partitionBy("vertex").orderBy(*keys)
             df = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= self.size).drop("_rn")
-        return df
+        return df.orderBy("vertex", *keys) if self.orders else df
 
     relations = edges
 

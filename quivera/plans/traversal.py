@@ -12,6 +12,7 @@ once; ``scope`` names the columns that limits, orders and reducers of a sub-trav
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -23,6 +24,8 @@ from ..functions import predicates as Pr
 from ..functions.predicates import P, holds
 from .graph import Graph
 
+#: Steps that look at several traversers at once: in a branch they must see those of one start only.
+BARRIERS = frozenset("order limit range_ skip tail count sum_ max_ min_ mean fold dedup group groupCount sample aggregate store".split())
 INTERNAL = ("_id", "_label", "_src", "_dst", "_value", "_path", "_prev", "_loops", "_sack")
 ASC, DESC = "asc", "desc"
 MAX_LOOPS = 64
@@ -39,6 +42,10 @@ class Anonymous:
             raise AttributeError(name)
         return lambda *a, **k: Anonymous((*self._calls, (name, a, k)))
 
+    @property
+    def has_barrier(self) -> bool:
+        return any(name in BARRIERS or any(isinstance(x, Anonymous) and x.has_barrier for x in a) for name, a, _ in self._calls)
+
     def apply(self, t: "Traversal") -> "Traversal":
         for name, a, k in self._calls:
             t = getattr(t, name)(*a, **k)
@@ -459,10 +466,8 @@ class Traversal:
     def math(self, expression: str, **named: str) -> "Traversal":
         """An arithmetic expression; ``_`` is the current value and other names are step labels or properties."""
         t = self._load() if named else self
-        out = expression
-        for name, source in named.items():
-            out = out.replace(name, f"`{source}`")
-        out = " ".join(t._current if w == "_" else f"`_as_{w}`" if f"_as_{w}" in t.df.columns else w for w in out.split())
+        known = {"_": t._current} | {c[4:]: c for c in t.df.columns if c.startswith("_as_")} | named
+        out = re.sub(r"[A-Za-z_]\w*(?!\w*\s*\()", lambda m: f"`{known[m[0]]}`" if m[0] in known else m[0], expression)
         return t._single(F.expr(out).cast("double"))
 
     def inject(self, *values) -> "Traversal":
@@ -544,7 +549,7 @@ class Traversal:
         t = self
         for label, key in zip(labels, by):
             if key is not None:
-                table = self.graph.vertices().select(F.col("id").alias("_vid"), F.col(key).alias(f"_by_{label}"))
+                table = self._values_of(key, t.df.schema[f"_as_{label}"].dataType).withColumnsRenamed({"id": "_vid", "value": f"_by_{label}"})
                 t = t._new(t.df.join(table, F.col(f"_as_{label}") == F.col("_vid"), "left").drop("_vid"))
         columns = {x: F.col(f"_as_{x}" if k is None else f"_by_{x}") for x, k in zip(labels, by)}
         if len(labels) == 1:
@@ -553,6 +558,15 @@ class Traversal:
             return t._single(columns[labels[0]])
         return t._single(F.struct(*[c.alias(x) for x, c in columns.items()]), "map")
 
+    def _values_of(self, key: str, kind: T.DataType) -> DataFrame:
+        """(id, value): a property of the elements whose ids are of this type, from the tables that have it."""
+        g, own = self.graph, {"id": "id", "T.id": "id", "label": "label", "T.label": "label"}.get(key, key)
+        if isinstance(kind, T.StringType) and any(own == "id" or own == "label" or own in g.edge_tables[x].columns for x in g.edge_tables):
+            labels = tuple(x for x in g.edge_tables if own in ("id", "label") or own in g.edge_tables[x].columns)
+            return g.edges(labels).select("id", F.col(f"`{own}`").alias("value"))
+        labels = tuple(x for x in g.vertex_tables if own in ("id", "label") or own in g.vertex_tables[x].columns)
+        return g.vertices(labels).select("id", (F.col(f"`{own}`") if labels else F.lit(None).cast("string")).alias("value"))
+
     def project(self, *names: str, by: list) -> "Traversal":
         t = self
         for name, key in zip(names, by):
@@ -607,14 +621,18 @@ class Traversal:
     def _without_result(self, sub) -> "Traversal":
         return self.not_(sub)
 
+    def _branch(self, sub: Anonymous) -> "Traversal":
+        """A branch's results, traverser by traverser."""
+        return self.local(sub) if sub.has_barrier else sub.apply(self)
+
     def optional(self, sub) -> "Traversal":
-        return self._together([sub.apply(self), self._without_result(sub)])
+        return self._together([self._branch(sub), self._without_result(sub)])
 
     def coalesce(self, *subs) -> "Traversal":
         """The results of the first branch that has any, traverser by traverser."""
         left, parts = self, []
         for s in subs:
-            parts.append(s.apply(left))
+            parts.append(left._branch(s))
             left = left._without_result(s)
         return self._together(parts)
 
@@ -667,6 +685,9 @@ class Traversal:
                 done.append(now if emit is True else now.where(emit))
             if times is None and now.df.isEmpty():
                 break
+        else:
+            if times is None:
+                raise RuntimeError(f"traversers still loop after {max_loops} rounds; give a greater max_loops")
         if times is not None:
             done.append(now if emit in (None, False, True) else now.where(emit))
         out = self._together(done)

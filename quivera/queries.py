@@ -380,12 +380,6 @@ def group_by(g):
     return t.result(c_mktsegment="key", total="value").select("c_mktsegment", F.round("total", 2).alias("total"))
 
 
-@_query("select n_name, string_agg(c_name, ',' order by c_name) as names from nation join customer on c_nationkey = n_nationkey where c_custkey <= 200 group by n_name")
-def fold_names(g):
-    t = _V(g, "customer").has("c_custkey", P.lte(200)).as_("c").out("in_nation").as_("n").select("c", "n", by=["c_name", "n_name"])
-    return t.df.groupBy(F.col("_value.n").alias("n_name")).agg(F.array_join(F.sort_array(F.collect_list("_value.c")), ",").alias("names"))
-
-
 @_query("select count(*) as n from customer")
 def fold_unfold(g):
     return _V(g, "customer").values("c_name").fold().unfold().count().result(n="value")
@@ -411,12 +405,6 @@ def where_count(g):
     return _V(g, "customer").where(__.out("placed").count().is_(P.gte(12))).result(c_custkey="c_custkey")
 
 
-@_query("select a.c_custkey as a, b.c_custkey as b from customer a join customer b on a.c_nationkey = b.c_nationkey and a.c_custkey <> b.c_custkey where a.c_custkey <= 40")
-def where_neq_label(g):
-    t = _V(g, "customer").has("c_custkey", P.lte(40)).as_("a").out("in_nation").in_("in_nation").hasLabel("customer").where(P.neq("a")).as_("b").select("a", "b", by=["c_custkey", "c_custkey"])
-    return t.df.select("_value.a", "_value.b")
-
-
 @_query("select coalesce(o_orderkey, -1) as o, c_custkey as c from customer left join orders on o_custkey = c_custkey")
 def optional_left(g):
     t = _V(g, "customer").as_("c").optional(__.out("placed"))
@@ -554,14 +542,20 @@ def subgraph(g):
     return s.vertices().agg(F.count("*").alias("vertices")).join(s.edges().agg(F.count("*").alias("edges")))
 
 
-@_query()
+@_query("select least(50, (select count(*) from customer)) as n, least(50, (select count(*) from customer)) as known")
 def sample_step(g):
-    return _V(g, "customer").sample(10).result(c_custkey="c_custkey")
+    """Size of a sample, and how many of it are customers, each once."""
+    picked = _V(g, "customer").sample(50).result(c_custkey="c_custkey")
+    known = picked.distinct().join(g.vertex_tables["customer"], "c_custkey", "left_semi").agg(F.count("*").alias("known"))
+    return picked.agg(F.count("*").alias("n")).join(known)
 
 
-@_query()
+@_query("select true as near_half, 0 as strangers")
 def coin_step(g):
-    return _V(g, "customer").coin(0.5).result(c_custkey="c_custkey")
+    """About half of the orders, and nothing else (five standard errors)."""
+    kept, all_ = _V(g, "order").coin(0.5).result(o_orderkey="o_orderkey"), g.vertex_tables["order"]
+    n = all_.agg(F.count("*").alias("n")).join(kept.agg(F.count("*").alias("k"))).join(kept.join(all_, "o_orderkey", "left_anti").agg(F.count("*").cast("int").alias("strangers")))
+    return n.select((F.abs(F.col("k") - F.col("n") / 2) <= 2.5 * F.sqrt("n") + 1).alias("near_half"), "strangers")
 
 
 # ---- graph computing -----------------------------------------------------------------------------------------
@@ -572,71 +566,74 @@ def degree_out(g):
     return olap.degree_counts(_sub(g, ["customer", "order"], ["placed"]), "out")
 
 
-@_query("select n_nationkey * 16 + 1 as id, (select count(*) from customer where c_nationkey = n_nationkey) + (select count(*) from supplier where s_nationkey = n_nationkey) as degree from nation")
+@_query("""select n_nationkey * 16 + 1 as id, (select count(*) from customer where c_nationkey = n_nationkey) + (select count(*) from supplier where s_nationkey = n_nationkey) as degree from nation
+union all select c_custkey * 16 + 2, 0 from customer union all select s_suppkey * 16 + 3, 0 from supplier""")
 def degree_in(g):
-    found = olap.degree_counts(_sub(g, ["customer", "supplier", "nation"], ["in_nation"]), "in")
-    return found.where(F.col("id") % 16 == 1)
+    return olap.degree_counts(_sub(g, ["customer", "supplier", "nation"], ["in_nation"]), "in")
 
 
-@_query("select n_nationkey * 16 + 1 as id, 1 + (select count(*) from supplier where s_nationkey = n_nationkey) + (select count(*) from customer where c_nationkey = n_nationkey) as degree from nation")
+@_query("""select n_nationkey * 16 + 1 as id, 1 + (select count(*) from supplier where s_nationkey = n_nationkey) + (select count(*) from customer where c_nationkey = n_nationkey) as degree from nation
+union all select c_custkey * 16 + 2, 1 from customer union all select s_suppkey * 16 + 3, 1 from supplier union all select r_regionkey * 16, (select count(*) from nation where n_regionkey = r_regionkey) from region""")
 def degree_both(g):
-    found = olap.degree_counts(_sub(g, ["customer", "supplier", "nation", "region"], ["in_nation", "in_region"]), "both")
-    return found.where(F.col("id") % 16 == 1)
+    return olap.degree_counts(_sub(g, ["customer", "supplier", "nation", "region"], ["in_nation", "in_region"]), "both")
 
 
-@_query("select s_suppkey * 16 + 3 as id, count(*) as degree from supplier join nation on s_nationkey = n_nationkey group by 1")
+@_query("""select s_suppkey * 16 + 3 as id, 1 as degree from supplier union all select c_custkey * 16 + 2, 1 from customer
+union all select n_nationkey * 16 + 1, 0 from nation union all select r_regionkey * 16, 0 from region""")
 def walk_counts(g):
-    found = olap.degree_counts(_sub(g, ["supplier", "nation", "region"], ["in_nation", "in_region"]), "out", length=2)
-    return found.where(F.col("id") % 16 == 3)
+    return olap.degree_counts(_sub(g, ["customer", "supplier", "nation", "region"], ["in_nation", "in_region"]), "out", length=2)
 
 
 def _rank_sql(rounds: int) -> str:
-    v = "select s_suppkey * 16 + 3 as id from supplier union all select n_nationkey * 16 + 1 from nation union all select r_regionkey * 16 from region"
-    e = "select s_suppkey * 16 + 3 as src, s_nationkey * 16 + 1 as dst from supplier union all select n_nationkey * 16 + 1, n_regionkey * 16 from nation"
-    out = [f"v as ({v})", f"e as ({e})", "d as (select src, count(*) as deg from e group by 1)", "r0 as (select id, 1.0 / (select count(*) from v) as rank from v)"]
+    v = "select c_custkey * 16 + 2 as id from customer union all select o_orderkey * 16 + 5 from orders union all select p_partkey * 16 + 4 from part"
+    e = "select o_custkey * 16 + 2 as src, o_orderkey * 16 + 5 as dst from orders union all select l_orderkey * 16 + 5, l_partkey * 16 + 4 from lineitem"
+    out = [f"v as materialized ({v})", f"e as materialized ({e})", "d as materialized (select src, count(*) as deg from e group by 1)", "r0 as materialized (select id, 1.0::double / (select count(*) from v) as rank from v)"]
     for k in range(rounds):
-        out.append(
-            f"r{k + 1} as (select v.id, 0.15 / (select count(*) from v) + 0.85 * coalesce(sum(r{k}.rank / deg), 0) as rank from v left join e on e.dst = v.id left join r{k} on r{k}.id = e.src left join d on d.src = e.src group by v.id)"
-        )
-    return "with " + ", ".join(out) + f" select id, round(rank, 9) as rank from r{rounds}"
+        sent = f"select e.dst as id, sum(r{k}.rank / deg) as m from e join r{k} on r{k}.id = e.src join d on d.src = e.src group by 1"
+        out.append(f"r{k + 1} as materialized (select v.id, 0.15 / (select count(*) from v) + 0.85 * coalesce(m, 0) as rank from v left join ({sent}) using (id))")
+    return "with " + ", ".join(out) + f" select id, round(rank * 1000, 6) as rank from r{rounds}"
 
 
 @_query(_rank_sql(9))
 def pagerank(g):
-    s = _sub(g, ["supplier", "nation", "region"], ["in_nation", "in_region"])
-    in_nation = s.edge_tables["in_nation"].where(F.col("src") % 16 == 3)
-    s = s.with_edges("in_nation", in_nation)
-    return olap.page_rank(s).select("id", F.round("rank", 9).alias("rank"))
+    """Over customers, orders and parts with all their edges, parallel ones included."""
+    s = _sub(g, ["customer", "order", "part"], ["placed", "contains"])
+    return olap.page_rank(s).select("id", F.round(F.col("rank") * 1000, 6).alias("rank"))
 
 
-@_query("""with e as (select s_suppkey * 16 + 3 as a, s_nationkey * 16 + 1 as b from supplier union all select n_nationkey * 16 + 1, n_regionkey * 16 from nation)
-select 0 as id, cast(0 as double) as distance union all select a, cast(1 as double) from e where b = 0 union all select e2.a, cast(2 as double) from e e1 join e e2 on e2.b = e1.a where e1.b = 0""")
+@_query("""with r as (select 0 as id, 0 as distance union all select n_nationkey * 16 + 1, 1 from nation where n_regionkey = 0),
+c as (select c_custkey * 16 + 2 as id, 2 as distance, c_custkey from customer where c_nationkey in (select n_nationkey from nation where n_regionkey = 0))
+select id, cast(distance as double) as distance from r union all select id, distance from c union all select s_suppkey * 16 + 3, 2 from supplier where s_nationkey in (select n_nationkey from nation where n_regionkey = 0)""")
 def sssp(g):
-    s = _sub(g, ["supplier", "nation", "region"], ["in_nation", "in_region"])
-    s = s.with_edges("in_nation", s.edge_tables["in_nation"].where(F.col("src") % 16 == 3))
-    return olap.shortest_distance(s, 0).where("distance is not null")
+    """Distances to a region from all that reaches it."""
+    return olap.shortest_distance(_sub(g, ["customer", "supplier", "nation", "region"], ["in_nation", "in_region"]), 0).where("distance is not null")
 
 
-@_query("""select id, min(id) over (partition by component) as component from (select n_nationkey * 16 + 1 as id, n_regionkey * 16 as component from nation union all select r_regionkey * 16, r_regionkey * 16 from region
-union all select s_suppkey * 16 + 3, n_regionkey * 16 from supplier join nation on s_nationkey = n_nationkey)""")
+@_query("""select o_orderkey * 16 + 5 as id, least(c, l) as component from (select o_orderkey, o_custkey * 16 + 2 as c, min(o_orderkey) over (partition by o_custkey) * 16 + 5 as l from orders)
+union all select c_custkey * 16 + 2, least(c_custkey * 16 + 2, coalesce((select min(o_orderkey) * 16 + 5 from orders where o_custkey = c_custkey), 9e18::bigint)) from customer""")
 def connected_components(g):
-    s = _sub(g, ["supplier", "nation", "region"], ["in_nation", "in_region"])
-    s = s.with_edges("in_nation", s.edge_tables["in_nation"].where(F.col("src") % 16 == 3))
-    return olap.connected_components(s)
+    return olap.connected_components(_sub(g, ["customer", "order"], ["placed"]))
+
+
+@_query("""select 16 * k + 3 as id, 3 as component from generate_series(0, 299) as t(k)""")
+def components_of_a_chain(g):
+    """A chain of 300 vertices is one component after a few rounds."""
+    ids = g.spark.range(300).select((F.col("id") * 16 + 3).alias("id"))
+    return olap.connected_components(Graph({"x": ids}, {"next": ids.where("id > 3").select("id", (F.col("id") - 16).alias("dst")).withColumnRenamed("id", "src")}))
 
 
-@_query("select s_suppkey * 16 + 3 as source, n_regionkey * 16 as target, 2 as distance, (s_suppkey * 16 + 3) || '>' || (s_nationkey * 16 + 1) || '>' || (n_regionkey * 16) as path from supplier join nation on s_nationkey = n_nationkey where s_suppkey <= 5")
+@_query("""select s_suppkey * 16 + 3 as source, n_regionkey * 16 as target, 2 as distance, (s_suppkey * 16 + 3) || '>' || (s_nationkey * 16 + 1) || '>' || (n_regionkey * 16) as path from supplier join nation on s_nationkey = n_nationkey""")
 def shortest_path(g):
-    s = _sub(g, ["supplier", "nation", "region"], ["in_nation", "in_region"])
-    s = s.with_edges("in_nation", s.edge_tables["in_nation"].where(F.col("src") % 16 == 3))
-    t = _V(s, "supplier").has("s_suppkey", P.lte(5)).shortestPath(target=__.hasLabel("region"), max_depth=2)
+    t = _V(_sub(g, ["customer", "supplier", "nation", "region"], ["in_nation", "in_region"]), "supplier").shortestPath(target=__.hasLabel("region"), max_depth=2)
     return t.df.where("distance = 2").select("source", "target", "distance", F.array_join("path", ">").alias("path"))
 
 
-@_query()
+@_query("""select s_suppkey * 16 + 3 as id, s_suppkey * 16 + 3 as cluster from supplier union all select c_custkey * 16 + 2, c_custkey * 16 + 2 from customer
+union all select n, min(x) from (select s_nationkey * 16 + 1 as n, s_suppkey * 16 + 3 as x from supplier union all select c_nationkey * 16 + 1, c_custkey * 16 + 2 from customer) group by n
+union all select n_nationkey * 16 + 1, n_nationkey * 16 + 1 from nation where n_nationkey not in (select s_nationkey from supplier union all select c_nationkey from customer)""")
 def peer_pressure(g):
-    s = _sub(g, ["supplier", "nation", "region"], ["in_nation", "in_region"])
-    return olap.peer_pressure(s, rounds=4)
+    """Members of nations vote for themselves, so that a nation joins the least of them."""
+    return olap.peer_pressure(_sub(g, ["customer", "supplier", "nation"], ["in_nation"]), rounds=4)
 
 
 @_query("select o_orderpriority as key, count(*) as n from orders group by 1")
@@ -675,9 +672,10 @@ def connection_check(g):
     return found.groupBy("label").agg(F.count("*").alias("n"))
 
 
-@_query("select (select count(*) from nation where n_regionkey <> 0) as vertices, (select count(*) from customer join nation on c_nationkey = n_nationkey where n_regionkey <> 0) as edges")
+@_query("""select (select count(*) from nation where n_regionkey <> 0) as vertices,
+(select count(*) from (select c_nationkey as k from customer union all select s_nationkey from supplier) join nation on k = n_nationkey where n_regionkey <> 0) as edges""")
 def drop_step(g):
-    s = Graph({"nation": g.vertex_tables["nation"], "customer": g.vertex_tables["customer"]}, {"in_nation": g.edge_tables["in_nation"].where(F.col("src") % 16 == 2)}, g.ends, g.schema)
+    s = _sub(g, ["nation", "customer", "supplier"], ["in_nation"])
     left = _V(s, "nation").has("n_regionkey", 0).drop()
     return left.vertices(("nation",)).agg(F.count("*").alias("vertices")).join(left.edges().agg(F.count("*").alias("edges")))
 
@@ -721,17 +719,6 @@ def raw_index_totals(g):
     return IndexQuery(_sub(g, ["document"], []), "+text:license -text:apache").vertexTotals()
 
 
-@_query("select count(*) as vertices, (select count(*) from nation where n_nationkey < 5) + 5 as edges from (select r_regionkey from region union all select 100 + r_regionkey from region)")
-def add_elements(g):
-    r = g.vertex_tables["region"]
-    s = Graph({"region": r}, {"in_region": g.edge_tables["in_region"].where(F.col("src") < 5 * 16).select("src", "dst")}, g.ends)
-    more = r.select((F.col("id") + 1600).alias("id"), (F.col("r_regionkey") + 100).alias("r_regionkey"), "r_name")
-    grown = s.traversal().addV("region", more.unionByName(r)).traversal()
-    grown = grown.graph.with_vertices("nation", g.vertex_tables["nation"])
-    grown = grown.traversal().addE("in_region", r.select((F.col("id") + 1600).alias("src"), F.col("id").alias("dst")).unionByName(r.select(F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst"))))
-    return grown.vertices(("region",)).agg(F.count("*").alias("vertices")).join(grown.edges().agg(F.count("*").alias("edges")))
-
-
 @_query("select count(*) as n from (select distinct src, dst from (select n_nationkey as src, n_regionkey as dst from nation union all select n_nationkey, 0 from nation))")
 def merge_edges(g):
     s = Graph({}, {"in_region": g.edge_tables["in_region"].select("src", "dst")})
@@ -739,16 +726,6 @@ def merge_edges(g):
     return merged.edges().agg(F.count("*").alias("n"))
 
 
-@_query("select o_orderkey, o_custkey * 16 + 2 as out_vertex, o_orderkey * 16 + 5 as in_vertex from orders where o_orderkey < 500")
-def relation_ids(g):
-    from .functions.values import parse_relation_id, relation_id
-
-    e = g.edge_tables["placed"].where(F.col("dst") < 500 * 16 + 5)
-    text = e.select(relation_id(((F.col("dst") - 5) / 16).cast("long"), F.col("src"), F.lit(7), F.col("dst")).alias("r"))
-    p = text.select(parse_relation_id(F.col("r")).alias("p"))
-    return p.select(F.col("p.relation").alias("o_orderkey"), "p.out_vertex", "p.in_vertex")
-
-
 @_query("select c_custkey from customer where c_nationkey = 3 or c_acctbal > 9000 order by c_acctbal desc, c_custkey limit 10 offset 5")
 def or_distinct_range(g):
     """OR branches are one scan: an element that several branches accept comes once, then order and range."""
@@ -767,32 +744,23 @@ def coerced_values(g):
     return v.df.select(number.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
 
 
-# ---- the same operators over all rows (the queries above them are bound to the id ranges of their SQL) --------
 
 
 @_query("select n_name, string_agg(c_name, ',' order by c_name) as names from nation join customer on c_nationkey = n_nationkey group by n_name")
-def fold_names_all(g):
+def fold_names(g):
     t = _V(g, "customer").as_("c").out("in_nation").as_("n").select("c", "n", by=["c_name", "n_name"])
     return t.df.groupBy(F.col("_value.n").alias("n_name")).agg(F.array_join(F.sort_array(F.collect_list("_value.c")), ",").alias("names"))
 
 
 @_query("select a.c_custkey as a, count(*) as n from customer a join customer b on a.c_nationkey = b.c_nationkey and a.c_custkey <> b.c_custkey group by 1")
-def where_neq_label_all(g):
+def where_neq_label(g):
     """Counted by start, as the pairs grow with the square of a nation's customers."""
     t = _V(g, "customer").as_("a").out("in_nation").in_("in_nation").hasLabel("customer").where(P.neq("a")).as_("b").select("a", "b", by=["c_custkey", "c_custkey"])
     return t.df.groupBy(F.col("_value.a").alias("a")).agg(F.count("*").alias("n"))
 
 
-@_query("select s_suppkey * 16 + 3 as source, n_regionkey * 16 as target, 2 as distance, (s_suppkey * 16 + 3) || '>' || (s_nationkey * 16 + 1) || '>' || (n_regionkey * 16) as path from supplier join nation on s_nationkey = n_nationkey")
-def shortest_path_all(g):
-    s = _sub(g, ["supplier", "nation", "region"], ["in_nation", "in_region"])
-    s = s.with_edges("in_nation", s.edge_tables["in_nation"].where(F.col("src") % 16 == 3))
-    t = _V(s, "supplier").shortestPath(target=__.hasLabel("region"), max_depth=2)
-    return t.df.where("distance = 2").select("source", "target", "distance", F.array_join("path", ">").alias("path"))
-
-
 @_query("select o_orderkey, o_custkey * 16 + 2 as out_vertex, o_orderkey * 16 + 5 as in_vertex from orders")
-def relation_ids_all(g):
+def relation_ids(g):
     from .functions.values import parse_relation_id, relation_id
 
     e = g.edge_tables["placed"]
@@ -802,7 +770,7 @@ def relation_ids_all(g):
 
 
 @_query("select (select 2 * count(*) from region) as vertices, (select count(*) from nation) + (select count(*) from region) as edges")
-def add_elements_all(g):
+def add_elements(g):
     r = g.vertex_tables["region"]
     s = Graph({"region": r}, {"in_region": g.edge_tables["in_region"].select("src", "dst")}, g.ends)
     more = r.select((F.col("id") + 1600).alias("id"), (F.col("r_regionkey") + 100).alias("r_regionkey"), "r_name")
@@ -810,3 +778,193 @@ def add_elements_all(g):
     grown = grown.graph.with_vertices("nation", g.vertex_tables["nation"])
     grown = grown.traversal().addE("in_region", r.select((F.col("id") + 1600).alias("src"), F.col("id").alias("dst")).unionByName(r.select(F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst"))))
     return grown.vertices(("region",)).agg(F.count("*").alias("vertices")).join(grown.edges().agg(F.count("*").alias("edges")))
+
+
+# ---- edges that are parallel, branches by traverser, orders of two keys, long loops ---------------------------
+
+
+@_query("select count(*) - 1 as edges, (select count(*) from orders) as vertices from lineitem")
+def parallel_edges_drop(g):
+    """Dropping the first of the edges between an order and a part leaves those beside it."""
+    s = _sub(g, ["order", "part"], ["contains"])
+    pair = multiplicity_violations(s.edge_tables["contains"], "SIMPLE").orderBy("src", "dst").limit(1)
+    first = s.edges(("contains",)).join(pair.select("src", "dst"), ["src", "dst"], "left_semi").agg(F.min("id").alias("id"))
+    left = mutations.drop_edges(s, first)
+    return left.edges().agg(F.count("*").alias("edges")).join(left.vertices(("order",)).agg(F.count("*").alias("vertices")))
+
+
+@_query("select l_returnflag, count(*) as n from lineitem group by 1")
+def parallel_edges_subgraph(g):
+    s = _sub(g, ["order", "part"], ["contains"]).traversal().E().hasLabel("contains").subgraph()
+    return s.edges().groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+@_query("""select c_custkey, o_orderkey from customer left join (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as k from orders) on o_custkey = c_custkey and k = 1""")
+def optional_local_limit(g):
+    """A limit in an optional branch counts for each traverser by itself."""
+    t = _V(g, "customer").as_("c").optional(__.out("placed").order().by("o_totalprice", DESC).by("id").limit(1))
+    return t.df.select(((F.col("_as_c") - 2) / 16).cast("long").alias("c_custkey"), F.when(F.col("_id") % 16 == 5, ((F.col("_id") - 5) / 16).cast("long")).alias("o_orderkey"))
+
+
+@_query("""select c_custkey, coalesce(n, c_nationkey * 16 + 1) as v from customer left join (select o_custkey, min(o_orderkey) * 16 + 5 as n from orders group by 1) on o_custkey = c_custkey""")
+def coalesce_local_limit(g):
+    t = _V(g, "customer").as_("c").coalesce(__.out("placed").order().by("id").limit(1), __.out("in_nation"))
+    return t.df.select(((F.col("_as_c") - 2) / 16).cast("long").alias("c_custkey"), F.col("_id").alias("v"))
+
+
+@_query("""select l_orderkey, l_linenumber from (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_returnflag, l_quantity, l_linenumber) as k from lineitem) where k <= 2""")
+def vertex_order_two_keys(g):
+    q = VertexQuery(_sub(g, ["order"], ["contains"])).labels("contains").direction("out").orderBy("l_returnflag").orderBy("l_quantity").orderBy("l_linenumber").limit(2)
+    return q.edges().select(((F.col("vertex") - 5) / 16).cast("long").alias("l_orderkey"), "l_linenumber")
+
+
+@_query("select 7 as last")
+def repeat_deep_chain(g):
+    """A chain of eight nations is walked to its end, and a loop that is cut off early raises."""
+    ids = g.vertex_tables["nation"].select("id", "n_nationkey")
+    chain = Graph({"nation": ids}, {"next": ids.where("n_nationkey < 7").select(F.col("id").alias("src"), (F.col("id") + 16).alias("dst"))}, {"next": (("nation",), ("nation",))})
+    from .operators.olap import checkpointed
+
+    t = _V(chain, "nation").has("n_nationkey", 0).repeat(__.out("next"), until=__.not_(__.out("next")), checkpoint=checkpointed)
+    try:
+        _V(chain, "nation").has("n_nationkey", 0).repeat(__.out("next"), until=__.not_(__.out("next")), max_loops=3)
+    except RuntimeError:
+        return t.result(last="n_nationkey")
+    raise AssertionError("a loop was cut off without a word")
+
+
+@_query("select c_custkey, 2 * c_acctbal + 1 as v from customer")
+def math_without_blanks(g):
+    return _V(g, "customer").as_("c").values("c_acctbal").math("_*2+1").df.select(((F.col("_as_c") - 2) / 16).cast("long").alias("c_custkey"), F.col("_value").alias("v"))
+
+
+@_query("select o_orderkey, c_name from orders join customer on o_custkey = c_custkey")
+def select_by_of_one_table(g):
+    t = _V(g, "order").as_("o").in_("placed").as_("c").select("o", "c", by=["o_orderkey", "c_name"])
+    return t.df.select("_value.o", "_value.c").withColumnsRenamed({"o": "o_orderkey", "c": "c_name"})
+
+
+# ---- queries of single rules ---------------------------------------------------------------------------------
+
+
+@_query("select r_regionkey * 16 as vertex, 2 as n from region")
+def self_loop_both(g):
+    """A loop comes twice in direction both."""
+    r = g.vertex_tables["region"]
+    s = Graph({"region": r}, {"self": r.select(F.col("id").alias("src"), F.col("id").alias("dst"))})
+    return VertexQuery(s).direction("both").count().withColumnRenamed("count", "n")
+
+
+@_query("select 0 as n")
+def properties_in_direction_in(g):
+    return VertexQuery(_sub(g, ["nation"], [])).direction("in").properties().agg(F.count("*").cast("int").alias("n"))
+
+
+@_query("select (select count(*) from nation) as without, 0 as with_value")
+def unknown_key(g):
+    """A key that no element has: its absence holds everywhere, a value nowhere."""
+    s = _sub(g, ["nation"], [])
+    n = lambda q, c: q.vertices().agg(F.count("*").alias(c))
+    return n(GraphQuery(s).hasNot("no_such_key"), "without").join(n(GraphQuery(s).has("no_such_key", 1), "with_value").select(F.col("with_value").cast("int")))
+
+
+@_query("select 1 as refused, (select count(*) from nation where n_regionkey = 1) as found")
+def force_index(g):
+    """Under force-index a query without a condition on an enabled index raises, one with it runs."""
+    from .plans.native import ScanNotAllowed
+    from .plans.schema import Index
+
+    s = _sub(g, ["nation"], [])
+    s = Graph(s.vertex_tables, s.edge_tables, s.ends, s.schema.with_index(Index("byRegion", ("n_regionkey",), status="ENABLED")))
+    try:
+        GraphQuery(s, force_index=True).has("n_name", "FRANCE").vertices()
+    except ScanNotAllowed:
+        return GraphQuery(s, force_index=True).has("n_regionkey", 1).vertices().agg(F.count("*").alias("found")).withColumn("refused", F.lit(1))
+    raise AssertionError("a full scan was allowed")
+
+
+@_query("select o_orderkey from orders where o_totalprice > 100000")
+def computer_filters(g):
+    """A computer sees the vertices and edges that its filters pass."""
+    s = _sub(g, ["order"], ["placed"])
+    c = olap.Computer(s, vertex_filter=F.col("o_totalprice") > 100000, edge_labels=("placed",), edge_filter=F.col("o_totalprice") > 100000)
+    ids = c.vertices().join(c.edges().select(F.col("dst").alias("id")), "id", "left_semi")
+    return ids.select("o_orderkey")
+
+
+@_query("select n_nationkey, (select count(*) from customer where c_nationkey = n_nationkey) + (select count(*) from supplier where s_nationkey = n_nationkey) as degree, 0 as edges from nation")
+def computer_persist_new(g):
+    """Results as properties of a new graph, which has no edges."""
+    s = _sub(g, ["nation", "customer", "supplier"], ["in_nation"])
+    kept = olap.Computer(s).persist(olap.degree_counts(s, "in"), "NEW")
+    return kept.vertex_tables["nation"].select("n_nationkey", "degree", F.lit(len(kept.edge_tables)).alias("edges"))
+
+
+@_query("select c_mktsegment as segment, count(*) as n from customer group by 1")
+def vertex_scan_job(g):
+    """A user's job over batches of vertices, with its metrics summed."""
+
+    def job(batches):
+        for b in batches:
+            n = b.groupby("c_mktsegment").size()
+            yield n.reset_index().set_axis(["segment", "n"], axis=1)
+
+    return olap.scan_job(_sub(g, ["customer"], []), job, "segment string, n long", ("customer",)).groupBy("segment").agg(F.sum("n").alias("n"))
+
+
+@_query("select r_regionkey, r_name from region")
+def assigned_ids(g):
+    """Ids made from natural keys join back to their rows, alike in both tables."""
+    r = g.vertex_tables["region"].select("r_regionkey", "r_name")
+    keyed = mutations.assign_ids(r, ["r_name"])
+    again = mutations.assign_ids(r.select("r_name"), ["r_name"]).select("id")
+    return keyed.join(again, "id").select("r_regionkey", "r_name")
+
+
+@_query("select 'REMOVED' as op, 'n_name' as label, count(*) as n from nation where n_regionkey = 2 union all select 'ADDED', 'n_name', count(*) from nation where n_regionkey = 2")
+def changelog_properties(g):
+    """A property that changes under the same id is logged with its old and its new value."""
+    s = _sub(g, ["nation"], [])
+    after = s.with_vertices("nation", s.vertex_tables["nation"].withColumn("n_name", F.when(F.col("n_regionkey") == 2, F.concat("n_name", F.lit("!"))).otherwise(F.col("n_name"))))
+    found = changelog.changes_between(s, after, "log", 1, "2024-01-01 00:00:00").where("kind = 'property'")
+    return found.groupBy("op", "label").agg(F.count("*").alias("n"))
+
+
+@_query("select event_type, count(*) as n from events group by 1")
+def log_processor(spark, sf_dir):
+    """A named processor over an appended log gets every change once; started again it gets nothing more."""
+    import uuid
+
+    from .operators.olap import checkpointed
+
+    checkpointed(spark.range(1))  # sets the checkpoint folder where the session has none
+    root = f"{spark.sparkContext.getCheckpointDir()}/log-{uuid.uuid4().hex}"
+    changelog.append(changelog.events_as_changes(spark.read.parquet(f"{sf_dir}/events.parquet")), f"{root}/log")
+    for _ in range(2):
+        seen = changelog.LogProcessor(spark, f"{root}/log", "events", "counter", f"{root}/marks")
+        seen.add(lambda state, batch: state.edges().groupBy("label").count().write.mode("append").parquet(f"{root}/out")).start(once=True).awaitTermination()
+    return spark.read.parquet(f"{root}/out").groupBy(F.col("label").alias("event_type")).agg(F.sum("count").alias("n"))
+
+
+@_query("select n_nationkey, r_name from nation join region on n_regionkey = r_regionkey")
+def graphson_round_trip(g):
+    """Nations and regions as adjacency JSON, read again as a graph and walked."""
+    import uuid
+
+    from .operators.olap import checkpointed
+    from .sources.graphson import read_graphson, to_graphson
+
+    checkpointed(g.spark.range(1))
+    path = f"{g.spark.sparkContext.getCheckpointDir()}/graphson-{uuid.uuid4().hex}"
+    to_graphson(_sub(g, ["nation", "region"], ["in_region"])).write.text(path)
+    t = _V(read_graphson(g.spark, path), "nation").as_("n").out("in_region").hasLabel("region").as_("r").select("n", "r", by=["n_nationkey", "r_name"])
+    return t.df.select(F.col("_value.n").alias("n_nationkey"), F.col("_value.r").alias("r_name"))
+
+
+@_query("select count(*) as listed, (select min(n_name) from nation) as first, true as found from region")
+def terminals(g):
+    """toList, next, tryNext, hasNext and iterate."""
+    names = _V(g, "region").values("r_name").toList()
+    first = _V(g, "nation").values("n_name").order().by().next()
+    found = _V(g, "region").iterate().hasNext() and _V(g, "region").has("r_name", "no such region").tryNext() is None
+    return g.spark.createDataFrame([(len(names), first, found)], "listed long, first string, found boolean")

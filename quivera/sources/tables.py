@@ -57,6 +57,14 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     def edges(table: str, a: str, ka: str, b: str, kb: str, *more: str) -> Callable[[], DataFrame]:
         return lambda: t(table).select(vertex_id(a, F.col(ka)).alias("src"), vertex_id(b, F.col(kb)).alias("dst"), *more)
 
+    def line_edges(label: str, *rest: str) -> Callable[[], DataFrame]:
+        """Edges of lines, which may be parallel: their ids are order, line number and a hash of the whole line."""
+        def key() -> Column:
+            whole = F.hex(F.xxhash64(*t("lineitem").columns))
+            return F.concat_ws("-", F.lit(label), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), whole)
+
+        return lambda: t("lineitem").select(key().alias("id"), *[vertex_id(x, F.col(k)).alias(end) for x, k, end in ((*rest[:2], "src"), (*rest[2:4], "dst"))], *rest[4:])
+
     from_customer = edges("customer", "customer", "c_custkey", "nation", "c_nationkey")
     from_supplier = edges("supplier", "supplier", "s_suppkey", "nation", "s_nationkey")
     vertex_tables = LazyTables(
@@ -75,8 +83,8 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     edge_tables = LazyTables(
         {
             "placed": edges("orders", "customer", "o_custkey", "order", "o_orderkey", "o_orderdate", "o_totalprice"),
-            "contains": edges("lineitem", "order", "l_orderkey", "part", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag"),
-            "supplied_by": edges("lineitem", "part", "l_partkey", "supplier", "l_suppkey", "l_discount"),
+            "contains": line_edges("contains", "order", "l_orderkey", "part", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag"),
+            "supplied_by": line_edges("supplied_by", "part", "l_partkey", "supplier", "l_suppkey", "l_discount"),
             "in_nation": lambda: from_customer().unionByName(from_supplier()),
             "in_region": edges("nation", "nation", "n_nationkey", "region", "n_regionkey"),
             "did": edges("events", "user", "user_id", "event", "event_id", "event_type", "ts", "value"),

@@ -41,11 +41,28 @@ def _rows(df: DataFrame, kind: str, op: str, log: str, tx_id: int, ts) -> DataFr
 
 
 def changes_between(before: Graph, after: Graph, log: str, tx_id: int, ts) -> DataFrame:
-    """Change rows that lead from one graph to the next: elements by id that only one of them has."""
+    """Change rows that lead from one graph to the next: elements by id that only one of them has, and properties (kind
+    ``property``, their key as label) that changed on elements that both have."""
     parts = []
     for kind, old, new in (("vertex", before.vertices(), after.vertices()), ("edge", before.edges(), after.edges())):
         parts.append(_rows(new.join(old.select("id"), "id", "left_anti"), kind, ADDED, log, tx_id, ts))
         parts.append(_rows(old.join(new.select("id"), "id", "left_anti"), kind, REMOVED, log, tx_id, ts))
+        reserved = VERTEX_COLUMNS if kind == "vertex" else EDGE_COLUMNS
+        names = [c for c in dict.fromkeys([*old.columns, *new.columns]) if c not in reserved]
+        if not names:
+            continue
+        bag = lambda df: df.select("id", F.struct(*[(F.col(f"`{n}`").cast("string") if n in df.columns else F.lit(None).cast("string")).alias(n) for n in names]).alias("s"))
+        both = bag(old).withColumnRenamed("s", "o").join(bag(new).withColumnRenamed("s", "n"), "id").where("not (o <=> n)")
+        for op, side, other in ((REMOVED, "o", "n"), (ADDED, "n", "o")):
+            pairs = F.array(*[F.struct(F.lit(n).alias("key"), F.col(side)[n].alias("value"), F.col(other)[n].alias("before")) for n in names])
+            changed = both.select("id", F.explode(pairs).alias("p")).where("p.value is not null and not (p.value <=> p.before)")
+            parts.append(
+                changed.select(
+                    F.lit(log).alias("log"), F.lit(tx_id).cast("long").alias("tx_id"), F.lit(ts).cast("timestamp").alias("ts"), F.lit(op).alias("op"), F.lit("property").alias("kind"),
+                    F.col("p.key").alias("label"), F.col("id").cast("string").alias("id"), F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst"),
+                    F.create_map("p.key", "p.value").alias("properties"),
+                )
+            )
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -77,7 +94,8 @@ class ChangeState:
         )
 
     def properties(self, op: str = ANY, *keys: str) -> DataFrame:
-        df = self._of("vertex", op, ()).select("tx_id", "op", "id", F.explode("properties").alias("key", "value"))
+        """Properties of changed vertices, and those that changed on their own."""
+        df = self._of("vertex", op, ()).unionByName(self._of("property", op, ())).select("tx_id", "op", "id", F.explode("properties").alias("key", "value"))
         return df.where(F.col("key").isin(list(keys))) if keys else df
 
 
