@@ -160,11 +160,15 @@ def recurring_hashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     kept = tokens.join(constant, ["leaf", "at", "token"])
     size_of_template = F.element_at(F.sort_array(F.transform("kept", lambda x: x["n"]), False), F.ceil(CONSTANT_SHARE * F.col("size")).cast("int"))
     constants = F.transform(F.filter("kept", lambda x: x["n"] >= RELATIVE * F.col("enough")), lambda x: F.struct(x["at"], x["token"]))
-    template = (
+    candidates = (
         kept.groupBy("leaf", "line_hash", "size")
         .agg(F.sort_array(F.collect_list(F.struct("at", "token", "n"))).alias("kept"))  # a line's own tokens
         .where(F.size("kept") >= CONSTANT_SHARE * F.col("size"))
-        .withColumn("enough", size_of_template)
+        .select("leaf", "line_hash", "kept", size_of_template.alias("enough"))
+    )
+    # Written, as the plan would else find the size again for every token.
+    template = (
+        write_table(candidates, "lines-candidates")
         .withColumn("constants", constants)
         .where(F.exists("constants", lambda x: x["at"] >= DEPTH))
         .select("leaf", "line_hash", F.xxhash64("leaf", "constants").alias("template"))
