@@ -14,8 +14,11 @@ joins an earlier one, not all pairs.
 
 ``near_similar`` links by similarity instead: texts whose sets of five-word shingles have a Jaccard similarity of 0.8
 differ in 15 % of the bits, which is too far for blocks. It takes ``BITS`` bits, deals each fingerprint by the bits of
-``TABLES`` samples of ``KEY_BITS`` bits, and a BK-tree a shard finds what differs in ``WIDE_RADIUS`` bits or fewer. Its
-recall is a matter of probability: README has figures.
+``TABLES`` samples of ``KEY_BITS`` bits, and a BK-tree a shard finds what differs in ``WIDE_RADIUS`` bits or fewer; a shard
+that is too large is cut into slices of which every pair is compared. What samples miss an exact search finds
+(``similar_texts``): all pairs of texts in different groups whose Jaccard similarity is ``SIMILAR`` or more. Shingles have
+one order, rare ones first; similar texts share a shingle among the first fifth of theirs (prefix filtering); of those that
+do the whole sets are compared, unless bitmaps show that too many shingles differ.
 
 Components: alternating large-star and small-star steps over link tables in the shared folder.
 
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,8 +51,14 @@ LEVELS = 3
 SIMILAR_WIDTH, BITS, WIDE_RADIUS, TABLES, KEY_BITS = 5, 256, 44, 80, 20
 #: Ids of rows that go are broadcast up to this number (about 24 MB); beyond it the texts are exchanged for the join.
 BROADCAST_IDS = 1_000_000
-#: A hot shard of the search by similarity is dealt again by this many samples of so many further bits.
-FINER, FINER_BITS = 8, 10
+#: The least Jaccard similarity of the exact search, as a fraction.
+SIMILAR = (4, 5)
+#: The order of shingles comes from those that two texts share of a sample, one of so many texts, but of about so many
+#: texts at least; the commonest so many shingles are broadcast (8 MB). Any order gives the same links; a common shingle
+#: that it does not know costs time.
+ORDER_STEP, ORDER_TEXTS, ORDER_SHINGLES = 12, 4_000, 500_000
+#: Rows of a batch that a task makes, and distinct texts that it remembers so as not to read copies again.
+MADE_ROWS, SEEN_TEXTS = 100_000, 100_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -68,18 +77,26 @@ def _more(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint_words(text: bytes | None, width: int = WIDTH, bits: int = 64) -> np.ndarray:
-    """The fingerprint of a text as ``bits`` / 64 unsigned words."""
+def shingle_hashes(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included; none without words."""
     words = (text or b"").translate(_LOWER).split()
     if not words:
-        return np.zeros(bits // 64, np.uint64)
+        return np.zeros(0, "<u8")
     n = max(1, len(words) - width + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends[: n - 1].tolist()]
     stops = (ends[min(width, len(words)) - 1 :] - 1).tolist()
     hash_of = xxhash.xxh64_intdigest
-    hashes = np.array([hash_of(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8")
+    return np.array([hash_of(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8")
+
+
+def fingerprint_words(text: bytes | None, width: int = WIDTH, bits: int = 64) -> np.ndarray:
+    """The fingerprint of a text as ``bits`` / 64 unsigned words."""
+    hashes = shingle_hashes(text, width)
+    n = len(hashes)
+    if not n:
+        return np.zeros(bits // 64, np.uint64)
     made = []
     for k in range(bits // 64):
         votes = np.zeros(64, np.int64)
@@ -171,6 +188,19 @@ def link_shard(own: list[int], other: list[int], radius: int) -> Iterator[tuple[
             tree.add(value)
 
 
+def link_slices(own: list[int], other: list[int], radius: int, words: int) -> Iterator[tuple[int, int]]:
+    """As ``link_shard``, by comparing all pairs: at a wide radius a tree leaves hardly any out, and arrays are faster."""
+    both = np.frombuffer(b"".join(v.to_bytes(8 * words, "little") for v in [*own, *other]), "<u8").reshape(-1, words)
+    group = np.arange(len(both))
+    for at in range(len(own) if other else 1, len(both)):
+        upto = len(own) if other else at
+        hits = np.flatnonzero(np.bitwise_count(both[:upto] ^ both[at]).sum(axis=1, dtype=np.int64) <= radius)
+        for g in np.unique(group[hits]).tolist():
+            if g != group[at]:
+                yield int(hits[group[hits] == g][0]), at
+                group[group == g] = group[at]
+
+
 def _tree_links(work: DataFrame, names: list[str], radius: int, shard_rows: int | None) -> DataFrame:
     """(a, b, large): links of nodes by a BK-tree for each key of ``work`` (key, fingerprint, maybe ``first``); a row with
     ``large`` alone names a key of over ``shard_rows`` rows, which is left out. Rows whose ``first`` is false are searched
@@ -192,7 +222,9 @@ def _tree_links(work: DataFrame, names: list[str], radius: int, shard_rows: int
                 large.append(at)
             elif len(own) + len(other) > 1 and own:
                 both = own + other
-                pairs.extend((both[a], both[b]) for a, b in link_shard(own, other, radius))
+                wide = split and len(names) > 1
+                found = link_slices(own, other, radius, len(names)) if wide else link_shard(own, other, radius)
+                pairs.extend((both[a], both[b]) for a, b in found)
 
         def batch_of(pairs, large):
             raw = b"".join(v.to_bytes(size, "little") for p in pairs for v in p)
@@ -311,13 +343,209 @@ def similar_links(fps: DataFrame, bits: int = BITS, radius: int = WIDE_RADIUS, t
     """(a, b): links between the nodes of ``fps`` (fp0, fp1...) that differ in ``radius`` bits or fewer and agree in
     all bits of a sample."""
     names, rng = _columns(bits), random.Random(SEED)
-    coarse = [rng.sample(range(bits), key_bits) for _ in range(tables)]
-    fine = [rng.sample(range(bits), FINER_BITS) for _ in range(FINER)]
+    samples = [rng.sample(range(bits), key_bits) for _ in range(tables)]
 
     def deal(rows: DataFrame, level: int) -> DataFrame:
-        return _deal_by_samples(rows, names, fine if level else coarse)
+        return _deal_by_samples(rows, names, samples)
+
+    return _searched(fps.selectExpr(*names, "0L as key"), deal, 1, names, radius, shard_rows)
+
+
+def _shingle_rows(rows: DataFrame, width: int, make, columns: list[str]) -> DataFrame:
+    """``columns`` (longs) that ``make(t, hashes)`` gives as arrays for the set of shingles of each text of ``rows`` (t, text)."""
+    ensure_importable(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        parts: list[list[np.ndarray]] = []
+        size = 0
+
+        def batch_of():
+            arrays = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(len(columns))]
+            return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64, copy=False)) for a in arrays], names=columns)
+
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            for k, t in enumerate(batch.column(0).to_pylist()):
+                if t in seen or not texts[k].is_valid:
+                    continue
+                if len(seen) >= SEEN_TEXTS:
+                    seen.clear()
+                seen.add(t)
+                made = make(t, np.unique(shingle_hashes(texts[k].as_py(), width)).view(np.int64))
+                parts.append(made)
+                size += len(made[0])
+                if size >= MADE_ROWS:
+                    yield batch_of()
+                    parts, size = [], 0
+        yield batch_of()
+        give_back()
+
+    return rows.select("t", "text").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+
+
+def _common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample share, ascending, and their places in the order (the commonest last)."""
+    step = max(1, min(ORDER_STEP, rows.count() // ORDER_TEXTS))
+    sample = _shingle_rows(rows.where(F.pmod("t", F.lit(step)) == 0), width, lambda t, s: [s], ["key"])
+    counted = sample.groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(ORDER_SHINGLES)
+    keys = counted.select("key").toArrow().column(0).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], -order
+
+
+def _prefixes(rows: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, t, n, at): the first shingles of each text, of which similar texts share one; ``n`` counts its shingles."""
+    (p, q), shared = SIMILAR, rows.sparkSession.sparkContext.broadcast(common)
+
+    def make(t, hashes):
+        known, place = shared.value
+        n = len(hashes)
+        if len(known):
+            found = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            hot = known[found] == hashes
+            if hot.any():
+                hashes = np.concatenate([hashes[~hot], hashes[hot][np.argsort(place[found[hot]])]])
+        upto = n + (-p * n // q) + 1 if n else 0  # n - ceil(n * p / q) + 1
+        return [hashes[:upto], np.full(upto, t), np.full(upto, n), np.arange(upto)]
+
+    return _shingle_rows(rows, width, make, ["key", "t", "n", "at"])
+
+
+def _may_be_similar(n, at, other_n, other_at):
+    """Whether two texts whose first common shingle has these places can be similar; of numbers or arrays."""
+    p, q = SIMILAR
+    rest = np.minimum(n - at, other_n - other_at)
+    return (q * n >= p * other_n) & (q * other_n >= p * n) & ((p + q) * rest >= p * (n + other_n))
+
+
+def candidate_pairs(n: np.ndarray, at: np.ndarray, root: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, places) of the texts of a shingle, ascending by ``n``, that lie in different groups and may be similar. Pairs
+    inside the largest group are not visited, nor are those of too different sizes."""
+    p, q = SIMILAR
+    roots, counts = np.unique(root, return_counts=True)
+    largest = roots[counts.argmax()]
+    for k in np.flatnonzero(root != largest).tolist():
+        low, high = np.searchsorted(n, -(-p * n[k] // q)), np.searchsorted(n, q * n[k] // p, "right")
+        part = slice(int(low), int(high))
+        other = root[part]
+        ok = (other != root[k]) & _may_be_similar(n[k], at[k], n[part], at[part])
+        ok &= (other == largest) | (np.arange(part.start, part.stop) > k)
+        if ok.any():
+            yield k, np.flatnonzero(ok) + part.start
+
+
+def _candidates(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): texts of different groups that share one of their first shingles and may be similar."""
+    over = Window.partitionBy("key")
+
+    def several(rows: DataFrame, column: str) -> DataFrame:
+        ends = rows.withColumn("low", F.min(column).over(over)).withColumn("high", F.max(column).over(over))
+        return ends.where("low <> high").drop("low", "high")
+
+    parts = max(1, int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shared = write_table(several(prefixes, "t"), "simhash-shared")
+    work = several(shared.join(roots, "t").select("key", "t", "n", "at", "root").repartition(parts, "key"), "root")
+    work = work.sortWithinPartitions("key", "n", "t")
 
-    return _searched(fps.selectExpr(*names, "0L as key"), deal, 2, names, radius, shard_rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def pairs_of(rows: np.ndarray) -> Iterator[np.ndarray]:
+            """Pairs of the texts of whole shingles, in parts of bounded size."""
+            rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]]  # copies that other tasks have read
+            ends = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0], True])
+            made, size = [], 0
+            for a, b in zip(ends, ends[1:]):
+                _, t, n, at, root = rows[a:b].T
+                for k, others in candidate_pairs(n, at, root):
+                    made.append(np.stack([np.minimum(t[k], t[others]), np.maximum(t[k], t[others])], axis=1))
+                    size += len(others)
+                    if size >= MADE_ROWS:
+                        yield np.concatenate(made)
+                        made, size = [], 0
+            if made:
+                yield np.concatenate(made)
+
+        def batches_of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for made in pairs_of(rows) if len(rows) else ():
+                made = np.unique(made, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(k).to_numpy() for k in range(5)], axis=1)
+            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # keys ascend; the last one may go on
+            if last:
+                yield from batches_of(np.concatenate([*held, rows[:last]]))
+                held = []
+            elif held and held[-1][-1, 0] != rows[0, 0]:
+                yield from batches_of(np.concatenate(held))
+                held = []
+            held.append(rows[last:])
+        if held:
+            yield from batches_of(np.concatenate(held))
+        give_back()
+
+    return work.mapInArrow(run, "a long, b long").distinct()
+
+
+def shingle_bits(text: bytes | None, width: int) -> bytes:
+    """The size of a text's set of shingles, and a bitmap of two to four bits a shingle."""
+    hashes = np.unique(shingle_hashes(text, width))
+    n, size = len(hashes), 64
+    while size < 2 * n:
+        size *= 2
+    bits = np.zeros(size, np.uint8)
+    bits[(hashes >> np.uint64(20)) % np.uint64(size)] = 1
+    return n.to_bytes(8, "little") + np.packbits(bits, bitorder="little").tobytes()
+
+
+def bits_allow(a: bytes, b: bytes) -> bool:
+    """Whether sets may be similar by their ``shingle_bits``: each bit that one alone has is a shingle that it alone has."""
+    (p, q), n, m = SIMILAR, int.from_bytes(a[:8], "little"), int.from_bytes(b[:8], "little")
+    x, y = np.frombuffer(a, np.uint8, offset=8), np.frombuffer(b, np.uint8, offset=8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(z.reshape(-1, size)) for z in (x, y))
+    both = min(n - int(np.bitwise_count(x & ~y).sum(dtype=np.int64)), m - int(np.bitwise_count(y & ~x).sum(dtype=np.int64)))
+    return (p + q) * both >= p * (n + m)
+
+
+def sets_agree(a: bytes, b: bytes) -> bool:
+    """Whether two sets of shingles, as sorted 64-bit hashes, have a Jaccard similarity of ``SIMILAR`` or more."""
+    (p, q), x, y = SIMILAR, np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    return (p + q) * len(np.intersect1d(x, y, assume_unique=True)) >= p * (len(x) + len(y))
+
+
+def _pairs_where(pairs: DataFrame, rows: DataFrame, describe, holds) -> DataFrame:
+    """The written pairs (a, b) for which ``holds`` is true of what ``describe`` gives of both texts as bytes."""
+    ends = write_table(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "simhash-ends")
+    few = ends.count() <= BROADCAST_IDS  # of more ends no texts are exchanged, all are described
+    wanted = rows.join(F.broadcast(ends), "t", "left_semi") if few else rows
+    made = map_texts(wanted, {"is": T.BinaryType()}, lambda: lambda texts: [pa.array([describe(x) for x in texts], pa.binary())], keep=["t"])
+    made = write_table((made if few else made.join(ends, "t", "left_semi")).dropDuplicates(["t"]), "simhash-described")
+    both = pairs.join(made.withColumnsRenamed({"t": "a", "is": "a_is"}), "a").join(made.withColumnsRenamed({"t": "b", "is": "b_is"}), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            true = [holds(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select([0, 1]).filter(pa.array(true, pa.bool_()))
+        give_back()
+
+    return write_table(both.select("a", "b", "a_is", "b_is").mapInArrow(run, "a long, b long"), "simhash-pairs")
+
+
+def similar_texts(rows: DataFrame, roots: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
+    """(a, b): roots of all pairs of texts of ``rows`` (t, text; t names a text) that ``roots`` (t, root) leaves apart and
+    whose sets of shingles have a Jaccard similarity of ``SIMILAR`` or more. Bitmaps rule most candidates out, for certain;
+    whole sets are compared of the others."""
+    pairs = write_table(_candidates(_prefixes(rows, width, _common_shingles(rows, width)), roots), "simhash-candidates")
+    pairs = _pairs_where(pairs, rows, lambda text: shingle_bits(text, width), bits_allow)
+    pairs = _pairs_where(pairs, rows, lambda text: np.unique(shingle_hashes(text, width)).tobytes(), sets_agree)
+    side = lambda x: roots.select(F.col("t").alias(x), F.col("root").alias(f"{x}_root"))
+    ends = pairs.join(side("a"), "a").join(side("b"), "b")
+    return ends.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct()
 
 
 def _grouped(printed: DataFrame, names: list[str], link) -> DataFrame:
@@ -340,10 +568,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def near_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SIMILAR_WIDTH, bits: int = BITS, radius: int = WIDE_RADIUS) -> DataFrame:
-    """(doc_id, text_hash, fp0, fp1..., component_id, root), linked by the similarity of sets of ``width``-word shingles."""
+    """(doc_id, text_hash, fp0, fp1..., component_id, root), linked by the similarity of sets of ``width``-word shingles: by
+    ``similar_links`` of fingerprints, and by ``similar_texts``, which finds all that are as similar as ``SIMILAR`` says."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     printed = write_table(fingerprints(rows, keep=["doc_id", "text_hash"], width=width, bits=bits), "simhash-wide")
-    return _grouped(printed, _columns(bits), lambda distinct: similar_links(distinct.select(*_columns(bits)), bits, radius))
+    names = _columns(bits)
+    near = write_table(_grouped(printed, names, lambda distinct: similar_links(distinct.select(*names), bits, radius)), "simhash-near")
+    roots = write_table(near.select(F.col("text_hash").alias("t"), "root").distinct(), "simhash-text-roots")
+    more = write_table(similar_texts(rows.select(F.col("text_hash").alias("t"), "text"), roots, width), "simhash-more")
+    if more.isEmpty():
+        return near
+    joined = write_table(components(more).selectExpr("node as root", "root as top"), "simhash-joined")
+    least = near.join(joined, "root").groupBy("top").agg(F.min("component_id").alias("least"))
+    moved = write_table(joined.join(least, "top"), "simhash-moved")
+    kept = F.when(F.col("top").isNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id")
+    return near.join(moved, "root", "left").select("doc_id", "text_hash", *names, kept, F.coalesce("top", "root").alias("root"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -650,6 +650,93 @@ def test_similar_brute_force(spark, documents, texts):
     assert got == _similar_classes({i: _wide(t) for i, t in zip(ids, texts)})
 
 
+def _edited(rng, words, n):
+    """The words with a run of ``n`` new ones at their end."""
+    return [*words[: len(words) - n], *("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))]
+
+
+def _shingle_set(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_similar_texts(spark):
+    """All pairs of a Jaccard similarity of 0.8 or more and no others, with common shingles, copies, short and null texts;
+    near_similar leaves none of them apart."""
+    rng = random.Random(31)
+    passage, texts = _edited(rng, [], 12), []
+    for k in range(60):
+        own = _edited(rng, passage, 0) + _edited(rng, [], rng.randint(150, 200)) if k % 2 else _edited(rng, [], rng.randint(8, 204))
+        near = [_edited(rng, own, rng.randint(max(1, len(own) // 12), len(own) // 8)) for _ in range(rng.randint(1, 4))]
+        texts += [" ".join(x) for x in [own, *near]]
+    texts += [" ".join(passage), "a b", "a b c d", "", texts[0].upper(), texts[3] + " " + texts[3]]
+    docs = spark.createDataFrame([*enumerate(texts), (998, texts[7]), (999, None)], "doc_id long, text string").repartition(3)
+    sets = [_shingle_set(t) for t in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(a) if sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    rows = docs.select(F.xxhash64("text").alias("t"), "text")
+    number = {r["t"]: r["doc_id"] for r in docs.where("doc_id < 998").select("doc_id", F.xxhash64("text").alias("t")).collect()}
+    found = simhash.similar_texts(rows, rows.select("t", F.col("t").alias("root")).distinct()).collect()
+    assert {tuple(sorted((number[r["a"]], number[r["b"]]), reverse=True)) for r in found} == want and len(found) == len(want) > 60
+    near = simhash.near_similar(docs).collect()
+    got = {r["doc_id"]: r["component_id"] for r in near}
+    assert len(near) == docs.count() and all(got[a] == got[b] <= b for a, b in want) and got[998] == got[7]
+    roots = {}
+    for r in near:
+        roots.setdefault(r["root"], set()).add(r["component_id"])
+    assert all(len(x) == 1 for x in roots.values()) and len(roots) == len(set(got.values()))
+
+
+def test_shingle_bits():
+    """Bitmaps never rule out a similar pair, and rule out pairs of half the shingles."""
+    rng, ruled = random.Random(34), 0
+    for _ in range(80):
+        own = _edited(rng, [], rng.randint(1, 400))
+        other = _edited(rng, own + _edited(rng, [], rng.choice([0, 0, len(own) // 5])), rng.randint(0, len(own) // rng.choice([2, 8])))
+        a, b = (" ".join(x).encode() for x in (own, other))
+        sets = [np.unique(simhash.shingle_hashes(x, 5)).tobytes() for x in (a, b)]
+        x, y = _shingle_set(" ".join(own)), _shingle_set(" ".join(other))
+        assert simhash.sets_agree(*sets) == (5 * len(x & y) >= 4 * len(x | y))
+        allowed = simhash.bits_allow(simhash.shingle_bits(a, 5), simhash.shingle_bits(b, 5))
+        assert allowed or not simhash.sets_agree(*sets)
+        ruled += not allowed
+    half = " ".join([*own[: len(own) // 2], *_edited(rng, [], 100)]).encode()
+    assert ruled and not simhash.bits_allow(simhash.shingle_bits(" ".join(own).encode(), 5), simhash.shingle_bits(half, 5))
+
+
+def test_candidate_pairs():
+    """Of one shingle's texts: each pair of different groups that may be similar once, whatever the groups' sizes."""
+    rng = random.Random(32)
+    for groups in (1, 2, 5, 40):
+        n = np.array(sorted(rng.randint(5, 60) for _ in range(40)))
+        at, root = np.array([rng.randrange(max(1, x // 5)) for x in n]), np.array([rng.randrange(groups) for _ in n])
+        got = Counter((min(k, j), max(k, j)) for k, others in simhash.candidate_pairs(n, at, root) for j in others.tolist())
+        want = {(a, b) for b in range(40) for a in range(b) if root[a] != root[b] and simhash._may_be_similar(n[a], at[a], n[b], at[b])}
+        assert set(got) == want and set(got.values()) <= {1} and (want or groups == 1)
+
+
+def test_similar_links_of_hot_shards(spark):
+    """Fingerprints of a hot shard, in slices of a few rows, have the components of all pairs that the samples bring together."""
+    rng = random.Random(33)
+    centres, values = [rng.getrandbits(256) for _ in range(3)], {}
+    for _ in range(120):
+        v = rng.choice(centres)
+        for bit in rng.sample(range(256), rng.randint(10, 34)):
+            v ^= 1 << bit
+        values[v] = v
+    want, n = _similar_classes(values), 4
+    words = lambda v: [(v >> 64 * k) % (1 << 64) for k in range(n)]
+    signed = lambda v: [x - (1 << 64) if x >> 63 else x for x in words(v)]
+    fps = spark.createDataFrame([(*signed(v), str(v)) for v in values], "fp0 long, fp1 long, fp2 long, fp3 long, v string")
+    name = {r["node"]: int(r["v"]) for r in fps.select(F.xxhash64("fp0", "fp1", "fp2", "fp3").alias("node"), "v").collect()}
+    for shard_rows in (3, 4096):
+        found = simhash.similar_links(fps.drop("v"), shard_rows=shard_rows)
+        roots = {name[r["node"]]: r["root"] for r in components(write_table(found, "t")).collect()}
+        groups = {}
+        for v in values:
+            groups.setdefault(roots.get(v, v), set()).add(want[v])
+        assert all(len(x) == 1 for x in groups.values()) and len(groups) == len(set(want.values()))
+
+
 def test_keep_one(spark):
     """One row of each group stays: repeated rows, ids with several texts, null ids, near copies."""
     rng = random.Random(24)
