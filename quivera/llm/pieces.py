@@ -57,7 +57,7 @@ UNKNOWN_PENALTY = 10.0
 #: Bytes of stretches and their ids kept by a task, in two generations; a stretch of more characters is not kept.
 KEPT_BYTES = 48 << 20
 KEPT_LENGTH = 32
-#: Pairs of pieces whose weight a task keeps (some 30 MB); beyond it the memory starts anew.
+#: Pairs of pieces whose weight a worker keeps (some 30 MB), in two generations.
 KEPT_PAIRS = 300_000
 #: Where stretches are looked for by pattern; of longer ones than DIRECT characters all cuts are found.
 PUNCTUATION = ".,;:!?\"'()"
@@ -157,6 +157,7 @@ class Transducer:
         self.blanks_lead = not any(h[1] == BLANK != h[0] for h in self.held)
         self.rough = re.compile(self._stretches() if self.blanks_lead else "(?s).+")
         self.out = [self._decoded(p, t) for p, _, t in model.pieces]
+        self.out_array = pa.array(self.out, pa.large_binary())
         self.known = {p for p in matched if len(p) == 1}
         #: The automaton of arcs by their ends: (id, characters, weight).
         self.automaton = ahocorasick.Automaton()
@@ -169,6 +170,8 @@ class Transducer:
         if self.user:
             self.user_symbols = re.compile("|".join(re.escape(self.text[i]) for i in sorted(self.user, key=lambda i: -len(self.text[i]))))
         self.vocabulary = len(model.pieces)
+        self.pairs: dict[int, bool] = {}
+        self.older_pairs: dict[int, bool] = {}
         if model.kind == BPE:
             self._order_merges()
         self.forget()
@@ -179,8 +182,8 @@ class Transducer:
         for a, b in (h for h in self.held if h[1] in before):
             before[b].add(a)
         joined = [f"(?<=[{''.join(map(re.escape, sorted(c)))}]){re.escape(x)}" for x, c in before.items() if c]
-        plain = f"[^{BLANK}{''.join(map(re.escape, before))}]*"
-        return f"(?:{BLANK}+|[^{BLANK}]){plain}" + (f"(?:(?:{'|'.join(joined)}){plain})*" if joined else "")
+        plain = f"[^{BLANK}{''.join(map(re.escape, before))}]*+"
+        return f"(?:{BLANK}++|[^{BLANK}]){plain}" + (f"(?:(?:{'|'.join(joined)}){plain})*+" if joined else "")
 
     # ---- weights of pairs -------------------------------------------------------------------------------
 
@@ -277,9 +280,7 @@ class Transducer:
                     key = last[start] * vocabulary + arc
                     finite = pairs.get(key)
                     if finite is None:
-                        if len(pairs) >= KEPT_PAIRS:
-                            pairs.clear()
-                        finite = pairs[key] = self._finite(last[start], arc)
+                        finite, pairs = self._weigh(key, last[start], arc), self.pairs
                     if not finite:
                         continue
                 weight[end], last[end], begins[end] = total, arc, start
@@ -290,6 +291,16 @@ class Transducer:
         path.reverse()
         return path
 
+    def _weigh(self, key: int, before: int, arc: int) -> bool:
+        """Whether a pair weighs 0, for pairs that ``pairs`` does not hold, where it is then kept."""
+        finite = self.older_pairs.get(key)
+        if finite is None:
+            finite = self._finite(before, arc)
+        if len(self.pairs) >= KEPT_PAIRS // 2:
+            self.older_pairs, self.pairs = self.pairs, {}
+        self.pairs[key] = finite
+        return finite
+
     def _path_ids(self, text: str, path: list[int]) -> list[int]:
         """Ids of a path: a character without a piece falls back to its bytes, or to the unknown piece."""
         if -1 not in path:
@@ -372,9 +383,8 @@ class Transducer:
         return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
 
     def forget(self) -> None:
-        """Free what was kept for words that come again."""
+        """Free what was kept for words that come again; weights of pairs stay, they follow from the model alone."""
         self.kept, self.older, self.kept_bytes = _Kept(self), {}, 0
-        self.pairs: dict[int, bool] = {}
 
     @staticmethod
     def _decoded(piece: str, kind: int) -> bytes:
@@ -384,9 +394,20 @@ class Transducer:
 
     def decode(self, ids: list[int]) -> str:
         """The inverse transduction; a byte that is no part of a character becomes U+FFFD."""
-        if any(i < 0 for i in ids):
+        if len(ids) and min(ids) < 0:
             raise IndexError("no such piece")
-        raw = b"".join(map(self.out.__getitem__, ids))
+        return self._text_of(b"".join(map(self.out.__getitem__, ids)), ids)
+
+    def decode_bytes(self, ids: bytes) -> str:
+        """``decode`` of ids as native 32-bit integers, gathered by Arrow."""
+        numbers = np.frombuffer(ids, np.int32)
+        if len(numbers) and numbers.min() < 0:
+            raise IndexError("no such piece")
+        taken = self.out_array.take(pa.array(numbers))
+        size = np.frombuffer(taken.buffers()[1], np.int64, count=len(numbers) + 1)[-1] if len(numbers) else 0
+        return self._text_of(taken.buffers()[2].slice(0, int(size)).to_pybytes() if size else b"", numbers)
+
+    def _text_of(self, raw: bytes, ids) -> str:
         if self.model.dummy_prefix or self.model.remove_extra_blanks:
             first = next((i for i in ids if self.model.pieces[i][2] != CONTROL), None)
             if first is not None and self.model.pieces[first][0].startswith(BLANK):
@@ -458,14 +479,14 @@ def encode(docs: DataFrame, model_path: str = MODEL, text: str = "text", keep: l
                 blob = t.encode_bytes(whole)
                 blobs.append(blob)
                 if decoded or round_trip:
-                    back = t.decode(np.frombuffer(blob, np.int32).tolist())
+                    back = t.decode_bytes(blob)
                     same.append(back == whole.replace(BLANK, " "))
                     if decoded:
                         again.append(back)
             made = [_ids_array(blobs), pa.array(np.array([len(b) // 4 for b in blobs], np.int32))]
             return made + ([pa.array(again, pa.string())] if decoded else []) + ([pa.array(same, pa.bool_())] if round_trip else [])
 
-        work.done = t.forget  # a worker that goes on to other tasks keeps the machine alone
+        work.done = t.forget  # a worker that goes on to other tasks keeps the machine and its pairs alone
         return work
 
     return map_texts(docs, columns, make, text, keep)

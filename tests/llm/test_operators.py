@@ -156,6 +156,29 @@ def test_pieces_odd_rows(odd, empty):
     assert {r["doc_id"]: r["decoded"] for r in again.collect()}[9] == "é ü 日本語 😀\n\nb"
 
 
+def test_pairs_stay_and_bytes_decode(texts, monkeypatch):
+    """Weights of pairs outlive a task in two bounded generations and change no encoding; decoding by Arrow is decoding."""
+    t = pieces.Transducer(pieces.load_model())
+    some = [x for x in texts if x][:60] + ["", " ", "\ud83d\ude00 ".encode("utf-16", "surrogatepass").decode("utf-16"), "\u0e01\u00e9x", "\u2581a"]
+    blobs = [t.encode_bytes(x) for x in some]
+    weighed, finite = [], t._finite
+    monkeypatch.setattr(t, "_finite", lambda before, arc: weighed.append(arc) or finite(before, arc))
+    t.forget()
+    assert [t.encode_bytes(x) for x in some] == blobs and not weighed
+    monkeypatch.setattr(pieces, "KEPT_PAIRS", 50)
+    t.pairs, t.older_pairs = {}, {}
+    t.forget()
+    assert [t.encode_bytes(x) for x in some] == blobs and weighed and len(t.pairs) <= 25 and len(t.older_pairs) <= 25
+    assert [t.decode_bytes(b) for b in blobs] == [t.decode(np.frombuffer(b, np.int32).tolist()) for b in blobs]
+    rng = random.Random(35)  # bytes that are no characters, control pieces
+    for _ in range(50):
+        ids = [rng.randrange(300) for _ in range(rng.randint(0, 12))]
+        assert t.decode_bytes(np.array(ids, np.int32).tobytes()) == t.decode(ids)
+    for bad in (-1, len(t.out)):
+        with pytest.raises(IndexError):
+            t.decode_bytes(np.array([5, bad], np.int32).tobytes())
+
+
 # ---- 2 and 7 classifiers -----------------------------------------------------------------------------------
 
 
