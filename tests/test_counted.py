@@ -101,3 +101,30 @@ def test_query_cyclic_path_makes_no_pairs(spark):
     from quivera.queries import QUERIES
 
     assert most_rows(QUERIES["cyclic_path"](spark, "/root/testdata/sf0.01")) <= 4_000
+
+
+def test_simple_path_counts_as_one_by_one(odd):
+    for t in (odd.traversal().V().as_("s").out("e").in_("e"), odd.traversal().V().as_("s").out("e").in_("e").out("e")):
+        agree(t.simplePath())
+        agree(t.hasLabel("low").simplePath())
+    assert odd.traversal().V(77).out("e").simplePath().count().next() == 0
+
+
+def test_a_second_filter_is_kept(odd):
+    t = odd.traversal().V().as_("s").out("e").as_("m").out("e")
+    agree(t.where(P.neq("s")).where(P.neq("m")))
+    agree(t.simplePath().where(P.neq("m")))
+    agree(t.where(P.neq("s")).cyclicPath())
+
+
+def test_simple_path_makes_no_pairs(hub):
+    t = hub.traversal().V().hasLabel("a").as_("s").out("at").in_("at").hasLabel("a").simplePath()
+    assert counted(t) == {k: 299 for k in range(1, 301)}
+    assert most_rows(t.select("s").groupCount().df) <= 2000
+
+
+def test_query_simple_path_makes_no_pairs(spark):
+    """100 suppliers with some 64 neighbours by nation were 6,400 pairs before."""
+    from quivera.queries import QUERIES
+
+    assert most_rows(QUERIES["simple_path"](spark, "/root/testdata/sf0.01")) <= 4_000
